@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import langid, mixing, quality, secret_scan, sharding, token_counts, warc
+from tickloom.llm import jaccard, langid, mixing, quality, secret_scan, sharding, token_counts, warc
 
 #: Labels of a classifier are learned where crc32 of the id as text, modulo this, is not `held`.
 LANG_FOLDS, LANG_HELD = 3, 1
@@ -51,6 +51,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 5, 75, 100)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold("id", QUALITY_FOLDS) != QUALITY_HELD)
@@ -62,5 +66,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op4_mixing, op5_token_counts, op6_language, op7_sharding, op9_quality, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op4_mixing, op5_token_counts, op6_language, op7_sharding, op8_ngram_join, op9_quality, op10_warc)}
 ORACLES: dict[str, str] = {}
