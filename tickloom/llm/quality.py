@@ -109,16 +109,18 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(min(ratio), 0.05, 0.99))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.03, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias on scaled features that minimise the non-negative risk, by Adam on minibatches."""
+def fit_nnpu(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.03, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights and bias on scaled features x that minimise the non-negative risk over the rows named, by Adam on minibatches."""
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(positive.shape[1]), 0.0
+    w, b = np.zeros(x.shape[1]), 0.0
     m, v, step = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
     rounds = max(1, -(-max(len(positive), len(unlabelled)) // batch))
     for epoch in range(epochs):
         for _ in range(rounds):
-            xp, xu = positive[rng.integers(0, len(positive), min(batch, len(positive)))], unlabelled[rng.integers(0, len(unlabelled), min(batch, len(unlabelled)))]
-            gp, gu = xp @ w + b, xu @ w + b
+            xp = x[positive[rng.integers(0, len(positive), min(batch, len(positive)))]]
+            xu = x[unlabelled[rng.integers(0, len(unlabelled), min(batch, len(unlabelled)))]]
+            low = w.astype(np.float32)
+            gp, gu = (xp @ low).astype(np.float64) + b, (xu @ low).astype(np.float64) + b
             # Losses: log(1 + e^-g) for +1 and log(1 + e^g) for -1.
             negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
             dp, du = -prior * _sigmoid(-gp) / len(gp), np.zeros(len(gu))
@@ -128,7 +130,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
             else:  # the risk of negatives has gone below nothing: step back along it alone
                 du = -_sigmoid(gu) / len(gu)
                 dp = prior * _sigmoid(gp) / len(gp)
-            g = np.append(dp @ xp + du @ xu + decay * w, dp.sum() + du.sum())
+            g = np.append(dp.astype(np.float32) @ xp + du.astype(np.float32) @ xu + decay * w, dp.sum() + du.sum())
             step += 1
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
@@ -147,7 +149,7 @@ def _calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return (float(t[0]) / scale, float(t[1])) if t[0] > 0 else (1.0, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 5) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 5) -> QualityModel | None:
     """Learn from labels of rows where `usable` (a condition on the id) holds; None without trusted positives or other text.
 
     most: about so many texts of each kind (label 1, label 0, unlabelled) are taken by a hash of the id, which bounds
@@ -173,20 +175,22 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 3000, id
     if not (y == 1).any() or not (y == -1).any() and not (y == 0).any():
         return None
     x = features([r["text"] for r in rows])
-    scale = EMPHASIS / (x.std(axis=0) + 1e-4)
+    del rows, seen, other
+    scale = np.concatenate([EMPHASIS[i : i + 256] / (x[:, i : i + 256].std(axis=0) + 1e-4) for i in range(0, x.shape[1], 256)]).astype(np.float32)
     x *= scale
-    positive, unlabelled = x[y == 1], x[y == -1] if (y == -1).any() else x
+    positive, unlabelled = np.flatnonzero(y == 1), np.flatnonzero(y == -1) if (y == -1).any() else np.arange(len(y))
     if count.get(0):
         prior = count[1] / (count[0] + count[1])
     else:
-        first = fit_nnpu(positive, unlabelled, 0.5, seed=seed)
-        prior = estimate_prior(positive @ first[0], unlabelled @ first[0])
-    w, b = fit_nnpu(positive, unlabelled, prior, seed=seed)
+        first = fit_nnpu(x, positive, unlabelled, 0.5, seed=seed)
+        margin = x @ first[0].astype(np.float32)
+        prior = estimate_prior(margin[positive], margin[unlabelled])
+    w, b = fit_nnpu(x, positive, unlabelled, prior, seed=seed)
     model = QualityModel(w * scale, float(b), float(prior))
     if (y == 0).any():
         some = y >= 0
         # In proportion to what is labelled, though each kind was drawn to a bound of its own.
-        margin = x[some] @ w + b
+        margin = (x @ w.astype(np.float32))[some] + b
         model.slope, model.shift = _calibrate(margin, y[some])
         model.shift += float(np.log(prior / (1 - prior)) - np.log((y == 1).sum() / (y == 0).sum()))
     return model
@@ -211,3 +215,19 @@ def score(docs: DataFrame, model: QualityModel | None, keep: tuple[str, ...] = (
 
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *extra)
     return slim.mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, model: QualityModel | None, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is `threshold` or more, with all their columns; all rows without a model."""
+    if model is None:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, powers = model.weights[FEATURE].astype(np.float32), Powers()
+        for batch in batches:
+            for part in pieces(batch, at):
+                s = model.scores(model.margins(*raw(part.column(at)), table, powers))
+                yield part.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
