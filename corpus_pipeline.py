@@ -1,16 +1,53 @@
-"""From raw documents to shards of a training corpus."""
+"""From raw documents to shards of a training corpus.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Documents of low quality go,
+one document of each group of near copies stays, documents that hold a benchmark item go, each remaining document is
+repeated as the mix of sources asks, and the result is dealt into shards.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tickloom.llm import decontam, jaccard, mixing, quality, queries, sharding
+from tickloom.llm.scratch import settle
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = queries.table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, queries.fold("id", queries.QUALITY_FOLDS) != queries.QUALITY_HELD)
+    return quality.keep(docs, model, queries.QUALITY_THRESHOLD)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs, 5, 75, 100)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rows(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(docs, 24, keep=True)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing sources to target weights", mixed),
+    ("sharding", sharded),
+]
+#: SQL can't express the learned classifier, nor the iterated rounding.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tickloom.llm.scratch import settle
-
+    """All stages in turn, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), "stage")
