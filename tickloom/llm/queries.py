@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontam, jaccard, langid, mixing, quality, secret_scan, sharding, token_counts, warc
+from tickloom.llm import ann, decontam, jaccard, langid, mixing, quality, secret_scan, sharding, token_counts, warc
 
 #: Labels of a classifier are learned where crc32 of the id as text, modulo this, is not `held`.
 LANG_FOLDS, LANG_HELD = 3, 1
@@ -29,6 +29,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), 20).withColumnRenamed("id", "vec_id")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"))
@@ -57,7 +62,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 5, 75, 100)
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 5, 75, 100).drop("text_hash")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +76,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_secrets, op4_mixing, op5_token_counts, op6_language, op7_sharding, op8_ngram_join, op9_quality, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest, op2_decontamination, op3_secrets, op4_mixing, op5_token_counts, op6_language, op7_sharding, op8_ngram_join, op9_quality, op10_warc)}
 ORACLES: dict[str, str] = {}
