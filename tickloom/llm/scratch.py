@@ -27,9 +27,12 @@ def place(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df to the shared folder and return a reader of what was written."""
+    """Write df to the shared folder and return a reader of what was written.
+
+    (With zstd, whose buffers lie on the heap; those of the default codec pile up outside it over many small files.)
+    """
     path = place(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tickloom_path = path
     return out
