@@ -69,6 +69,14 @@ def test_stream_equals_batch(spark, tmp_path):
         assert got[k] == pytest.approx(v), k
 
 
+def test_reports(spark, tmp_path):
+    from tickloom.plans.report import check_file
+
+    (tmp_path / "s.tdx").write_text("A: MA(C,5);\n\nB: NOPE(C);\nC1: C +;\n")
+    r = check_file(str(tmp_path / "s.tdx"))
+    assert (r.scripts, r.good, [k for k, _ in r.failures]) == (3, 1, [3, 4])
+
+
 def test_queries_have_their_sql():
     assert {k for k in queries.QUERIES if k not in queries.ORACLES} == {"rand"}
 

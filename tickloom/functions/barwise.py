@@ -276,7 +276,7 @@ RULES = {
     "dma": _smooth(_weigh_step),
     "rsi": Wilder,
 }
-RULES |= {b: RULES[a] for a, names in {"ma": ["average"], "sum": ["sumbars"], "std": ["stddev"], "exist": ["tfilter"], "ref": ["refv", "hod", "lod", "lowrange"], "barslastcount": ["barsstatus"], "ema": ["expma"], "rsi": ["ta.rsi"], "barssincen": ["_nth_true"]}.items() for b in names}
+RULES |= {b: RULES[a] for a, names in {"ma": ["average"], "sum": ["sumbars"], "std": ["stddev"], "exist": ["tfilter"], "ref": ["refv", "hod", "lod", "lowrange"], "barslastcount": ["barsstatus"], "ema": ["expma"], "rsi": ["ta.rsi"]}.items() for b in names}
 
 
 def rule_of(name: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.registry import number, register, true, unless_zero
@@ -24,15 +25,20 @@ def barssince(w, c):
 
 @register("barssincen", args=2, kind="composed")
 def barssincen(call, c, n):
-    # Counted by ordinal: the true bar n - 1 before the latest one, or else the first.
-    return call("_nth_true", c, n)
+    # Among true bars alone the sought one is n - 1 rows back, or the first; other bars carry it forward.
+    return call("_carried", call("_true_before", c, n))
 
 
-@register("_nth_true", args=2, kind="window", lengths=(1,))
-def nth_true(w, c, n):
-    # Only true bars are gathered, and of them the sought one is read.
-    seen = F.collect_list(F.when(true(c), w.i)).over(w.cum)
-    return number(F.coalesce(w.i - F.get(seen, F.greatest(F.size(seen) - max(n, 1), F.lit(0))), F.lit(-1)))
+@register("_true_before", args=2, kind="window", lengths=(1,))
+def true_before(w, c, n):
+    among = w.split(true(c))
+    first = F.first(w.i).over(among.rowsBetween(Window.unboundedPreceding, 0))
+    return number(F.when(true(c), F.coalesce(F.lag(w.i, max(n, 1) - 1).over(among) if n > 1 else w.i, first)))
+
+
+@register("_carried", args=1, kind="window")
+def carried(w, j):
+    return number(F.coalesce(w.i - F.last(j, ignorenulls=True).over(w.cum), F.lit(-1)))
 
 
 @register("barslastcount", "barsstatus", args=1, kind="window")

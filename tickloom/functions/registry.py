@@ -69,10 +69,12 @@ def real(c: Column) -> Column:
 class Frames:
     """The one order of bars within an instrument, and frames over it."""
 
-    def __init__(self, order) -> None:
+    def __init__(self, order, split=None) -> None:
+        """split: gives the order within the bars of an instrument that agree on a column."""
         from pyspark.sql import Window
 
         self.o, self.i = order, F.col("_i")
+        self.split = split or (lambda c: Window.partitionBy(c).orderBy("_i"))
         self.cum = order.rowsBetween(Window.unboundedPreceding, 0)
         self.all = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 

@@ -27,10 +27,10 @@ def _prepared(bars: DataFrame, inputs: list[str]) -> DataFrame:
     return bars.withColumns(out) if out else bars
 
 
-def plan(script: str | Script, columns: list[str], language: str = "hithink", order=None, parameters: dict | None = None, weighted_sma: bool = False) -> Plan:
+def plan(script: str | Script, columns: list[str], language: str = "hithink", order=None, parameters: dict | None = None, weighted_sma: bool = False, split=None) -> Plan:
     """Compile a script for bars with these columns, without running anything."""
     tree = parse(script, language) if isinstance(script, str) else script
-    return Compiler(tree, [c for c in columns if c in set(INPUTS.values())], Frames(order or Window.orderBy("time")), parameters, weighted_sma).compile()
+    return Compiler(tree, [c for c in columns if c in set(INPUTS.values())], Frames(order or Window.orderBy("time"), split), parameters, weighted_sma).compile()
 
 
 def run(bars: DataFrame, script: str | Script, language: str = "hithink", symbol: str | None = None, time: str = "time", ties: tuple[str, ...] = (), parameters: dict | None = None, keep: tuple[str, ...] = (), weighted_sma: bool = False, missing_first: bool = False) -> DataFrame:
@@ -50,7 +50,7 @@ def run(bars: DataFrame, script: str | Script, language: str = "hithink", symbol
     df = df.withColumn("_symbol", F.col(at[symbol]) if symbol else F.lit(0))
     null_last = F.col(at[time]).asc_nulls_first() if missing_first else F.col(at[time]).asc_nulls_last()
     order = Window.partitionBy("_symbol").orderBy(null_last, *[F.col(at[t]) for t in ties])
-    made = plan(script, df.columns, language, order, parameters, weighted_sma)
+    made = plan(script, df.columns, language, order, parameters, weighted_sma, lambda c: Window.partitionBy("_symbol", c).orderBy("_i"))
     df = _prepared(df, made.inputs).select(*at.values(), "_symbol", *made.inputs)
     if made.needs_index or any(s.folds for s in made.stages):
         df = df.withColumn("_i", F.row_number().over(order) - 1)

@@ -239,7 +239,7 @@ class Compiler:
 
     def call(self, name: str, args: list[Term]) -> Term:
         f = REGISTRY.get(name)
-        if f is None or name.startswith("_") and name not in ("_nth_true",):
+        if f is None:
             raise ScriptError(f"unknown function {name!r}; known: {', '.join(sorted(k for k in REGISTRY if k[0] != '_'))}")
         self.counted(name, len(args), f.least, f.most)
         args = [self.numeric(a) for a in args]
