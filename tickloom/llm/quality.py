@@ -75,24 +75,30 @@ def features(texts: list[str]) -> np.ndarray:
     return out
 
 
+def damping(n_bytes: np.ndarray) -> np.ndarray:
+    """How much a text's features count: the few bytes of a short one say little of it."""
+    return n_bytes / (n_bytes + 20.0)
+
+
 @dataclass
 class QualityModel:
-    """weights of features, bias, the prior that was used, and the map from margin to score."""
+    """weights of features, their value at the mean text, bias, the prior that was used, and the map from margin to score."""
 
     weights: np.ndarray
+    center: float
     bias: float
     prior: float
     slope: float = 1.0
     shift: float = 0.0
 
     def margins(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, powers: Powers) -> np.ndarray:
-        out = self.bias + shapes(data, offsets, powers) @ self.weights[FEATURES:]
+        out = shapes(data, offsets, powers) @ self.weights[FEATURES:] - self.center
         length = np.diff(offsets) - 2
         some = np.flatnonzero(length > 0)
         if len(some):
             w = np.concatenate([[0.0], np.cumsum(table[codes(data)], dtype=np.float64)])
             out[some] += (w[offsets[1:][some] - 2] - w[offsets[:-1][some]]) / length[some]
-        return out
+        return self.bias + damping(np.diff(offsets)) * out
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -40, 40)))
@@ -149,7 +155,7 @@ def _calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return (float(t[0]) / scale, float(t[1])) if t[0] > 0 else (1.0, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 5) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 5) -> QualityModel | None:
     """Learn from labels of rows where `usable` (a condition on the id) holds; None without trusted positives or other text.
 
     most: about so many texts of each kind (label 1, label 0, unlabelled) are taken by a hash of the id, which bounds
@@ -175,9 +181,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 1500, id
     if not (y == 1).any() or not (y == -1).any() and not (y == 0).any():
         return None
     x = features([r["text"] for r in rows])
+    damp = damping(np.array([len(r["text"].encode()) for r in rows])).astype(np.float32)
     del rows, seen, other
+    mean = x.mean(axis=0)
+    x -= mean
     scale = np.concatenate([EMPHASIS[i : i + 256] / (x[:, i : i + 256].std(axis=0) + 1e-4) for i in range(0, x.shape[1], 256)]).astype(np.float32)
     x *= scale
+    x *= damp[:, None]
     positive, unlabelled = np.flatnonzero(y == 1), np.flatnonzero(y == -1) if (y == -1).any() else np.arange(len(y))
     if count.get(0):
         prior = count[1] / (count[0] + count[1])
@@ -186,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 1500, id
         margin = x @ first[0].astype(np.float32)
         prior = estimate_prior(margin[positive], margin[unlabelled])
     w, b = fit_nnpu(x, positive, unlabelled, prior, seed=seed)
-    model = QualityModel(w * scale, float(b), float(prior))
+    model = QualityModel(w * scale, float((w * scale) @ mean), float(b), float(prior))
     if (y == 0).any():
         some = y >= 0
         # In proportion to what is labelled, though each kind was drawn to a bound of its own.
