@@ -53,14 +53,15 @@ def components(links: DataFrame) -> DataFrame:
     stars = settle(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(contract, "a bigint, b bigint"), "links")
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(stars)
+    tasks = before[0] // 50_000 + 1
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a > b").distinct()
-        large = settle(large, "large")
+        large = settle(large, "large", tasks)
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        stars = settle(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "stars")
+        stars = settle(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "stars", tasks)
         after = mark(stars)
         if after == before:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))

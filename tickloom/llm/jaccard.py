@@ -5,7 +5,8 @@ m segments; as a linked pair differs in at most H shingles, at least m - H segme
 therefore indexes its H + 1 cheapest non-empty segments, by a fixed order in which segments that many sets share
 come last: two linked sets that have an equal non-empty segment at all have one among these. Where so many segments
 are empty that this can't be relied on, a set indexes all its segments and their one-deletion neighbourhoods, and,
-in bands where even these can't settle it, single shingles. Candidates are verified on the whole sets.
+in bands where even these can't settle it, single shingles. Candidates that could be linked by a quarter of their shingles are verified on the whole sets,
+in blocks of near ones.
 
 Equal sets are one class from the start. A segment that few classes share gives all its pairs; one that many share
 gives links to its first class, and after the components of these are known only what is still apart is compared,
@@ -22,20 +23,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.bytetext import Powers, mix, pieces, raw, shingles, words
+from tickloom.llm.bytetext import Powers, give_back, mix, pieces, raw, shingles, words
 from tickloom.llm.components import components, forest
+from tickloom.llm.joins import bounded, only, without
 from tickloom.llm.scratch import settle
 
 #: Segments for each difference that a pair may have.
 SEGMENTS = 2.5
 #: Segments shared by so many classes give all pairs at once.
-FEW = 8
+FEW = 32
 #: Counters that estimate how many sets share a segment; they only order segments.
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 #: Entries that a task gathers before it hands them on.
-GATHER = 1 << 21
+GATHER = 1 << 20
+#: Bytes of text that are shingled at once.
+PIECE = 1 << 20
 #: Sets and shingles in a block of classes that are compared at once.
 BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 15
+#: Blocks to a side of a tile: what a task gets at once, to compare the pairs of blocks in it.
+TILE = 8
 #: Bits of the map of wanted ids (2 MB whatever the input); beyond what it can tell apart, more rows are read.
 WANTED = 1 << 24
 
@@ -133,50 +139,58 @@ def _shingled(part: pa.RecordBatch, width: int, powers: Powers) -> tuple[np.ndar
 
 
 def _pass_one(rows: DataFrame, kind: str, width: int, bands: Bands) -> DataFrame:
-    """Rows (id, class, n, hard) of every document, and the task's counters in pieces (part, counts)."""
+    """Rows (id, text_hash, class, n, hard, low) of every document, and the task's counters in pieces (part, counts).
+
+    low: the shingles in the lowest quarter of the universe, in 32 bits each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "class", "n", "hard", "part", "counts"]
-        powers, count, id_type = Powers(), np.zeros(SKETCH, np.uint32), None
+        names = ["id", "text_hash", "class", "n", "hard", "low", "part", "counts"]
+        powers, count, id_type = Powers(), np.zeros(SKETCH, np.uint8), None
         for batch in batches:
             id_type = batch.schema.field("id").type
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 tokens, at = _shingled(part, width, powers)
                 size = np.diff(at)
                 some = np.flatnonzero(size)
                 hard: list[list[int]] = [[] for _ in size]
                 if len(some):
                     which, band, m, h, job, key, *_ = segment_keys(tokens, np.append(at[:-1][some], at[-1]), bands)
-                    count += np.bincount((key & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                    where, times = np.unique(key & np.uint64(SKETCH - 1), return_counts=True)
+                    where = where.astype(np.int64)
+                    count[where] = np.minimum(count[where] + times, 255)
                     empty = m - np.bincount(job, minlength=len(which))
                     for j in np.flatnonzero((m - h - empty < 1) & (2 * empty > 2 * m - h - 1)):
                         hard[some[which[j]]].append(int(band[j]))
                 ids = pa.array(set_ids(tokens, at), mask=size == 0)
-                yield pa.RecordBatch.from_arrays([part.column("id"), ids, pa.array(size), pa.array(hard, pa.list_(pa.int32())), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=names)
+                low = [t[: np.searchsorted(t, np.uint64(1 << 62))] for t in np.split(tokens, at[1:-1])]
+                low = [(t >> np.uint64(30)).astype(np.uint32).tobytes() for t in low]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), ids, pa.array(size), pa.array(hard, pa.list_(pa.int32())), pa.array(low, pa.binary()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=names)
+        give_back()
         if id_type is not None:
             k = 16
             blobs = [x.tobytes() for x in np.split(count, k)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32())), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
-    return rows.mapInArrow(run, f"id {kind}, class bigint, n bigint, hard array<int>, part int, counts binary")
+    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, class bigint, n bigint, hard array<int>, low binary, part int, counts binary")
 
 
 def _summed(counters: DataFrame) -> np.ndarray:
-    """The tasks' counters, added up piece by piece on the cluster; 4 MB come to the driver."""
+    """The tasks' counters, added up piece by piece on the cluster; 8 MB come to the driver. Counts stop at what a task and a sum can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for p, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(c.as_buffer(), np.uint32)
-                total[p] = total[p] + x if p in total else x.copy()
+                x = np.frombuffer(c.as_buffer(), np.uint8).astype(np.uint32)
+                total[p] = total[p] + x if p in total else x
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(v, 65535).astype(np.uint16).tobytes() for v in total.values()], pa.binary())], names=["part", "counts"])
 
-    out = np.zeros(SKETCH, np.uint32)
+    out = np.zeros(SKETCH, np.uint16)
     step = SKETCH // 16
     for r in counters.repartition(16, "part").mapInArrow(run, "part int, counts binary").collect():
-        out[r["part"] * step : (r["part"] + 1) * step] += np.frombuffer(r["counts"], np.uint32)
+        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["counts"], np.uint16)
     return out
 
 
@@ -197,11 +211,11 @@ def _pass_two(rows: DataFrame, width: int, bands: Bands, shared, hard: frozenset
                 own, back = np.unique(v, return_inverse=True)
                 bytes6 = np.ascontiguousarray(k.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
                 back = back.astype(np.uint16 if len(own) <= 65536 else np.uint32)
-                blobs.append(b"".join([np.array([len(k), len(own)], np.int64).tobytes(), c[own].tobytes(), n[own].astype(np.int64).tobytes(), bytes6, back.tobytes()]))
+                blobs.append(b"".join([np.array([len(k), len(own)], np.int64).tobytes(), c[own].tobytes(), n[own].astype(np.int32).tobytes(), bytes6, back.tobytes()]))
             return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 tokens, at = _shingled(part, width, powers)
                 some = np.flatnonzero(np.diff(at))
                 if not len(some):
@@ -225,6 +239,8 @@ def _pass_two(rows: DataFrame, width: int, bands: Bands, shared, hard: frozenset
                     keys, who, ids, sizes, held, base = [], [], [], [], 0, 0
         if held:
             yield handed()
+        del keys, who, ids, sizes, powers
+        give_back()
 
     return rows.mapInArrow(run, "bucket int, entries binary")
 
@@ -233,14 +249,28 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, m = np.frombuffer(blob, np.int64, 2)
     at = 16
     c = np.frombuffer(blob, np.int64, m, at)
-    s = np.frombuffer(blob, np.int64, m, at + 8 * m)
-    at += 16 * int(m)
+    s = np.frombuffer(blob, np.int32, m, at + 8 * int(m))
+    at += 12 * int(m)
     wide = np.zeros((int(n), 8), np.uint8)
     wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(-1, 6)
     back = np.frombuffer(blob, np.uint16 if m <= 65536 else np.uint32, n, at + 6 * int(n))
     return wide.view("<u8")[:, 0], c[back], s[back]
 
 
+def _maximal(c: np.ndarray, first: np.ndarray, size: np.ndarray, runs: np.ndarray) -> list[int]:
+    """Of runs of classes those that no other of them holds: whoever shares a dropped one shares the one that holds it."""
+    kept, of = [], {}
+    for r in sorted(runs.tolist(), key=lambda r: -size[r]):
+        own = c[first[r] : first[r] + size[r]].tolist()
+        rarest = min((of.get(x, ()) for x in own), key=len)
+        if not any(k.issuperset(own) for k in rarest):
+            held = set(own)
+            kept.append(r)
+            for x in own:
+                of.setdefault(x, []).append(held)
+    return kept
+
+
 def _candidates(entries: DataFrame, bands: Bands, partitions: int) -> DataFrame:
     """Rows (key, a, b): candidate pairs (key null), and the classes of segments that more than FEW share (b null)."""
 
@@ -248,13 +278,25 @@ def _candidates(entries: DataFrame, bands: Bands, partitions: int) -> DataFrame:
         got = [_unpacked(x.as_buffer()) for batch in batches for x in batch.column(1)]
         if not got:
             return
-        key, c, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        key = np.concatenate([x[0] for x in got])
+        c = np.concatenate([x[1] for x in got])
+        n = np.concatenate([x[2].astype(np.int32) for x in got])
         del got
+        order = np.argsort(key)
+        again = key[order]
+        alone = np.ones(len(key), bool)  # keys of one entry, which most are, go at once
+        alone[1:] &= again[1:] != again[:-1]
+        alone[:-1] &= again[1:] != again[:-1]
+        order = order[~alone]
+        del again, alone
+        key, c, n = key[order], c[order], n[order]
         order = np.lexsort((c, key))
         key, c, n = key[order], c[order], n[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1])
         key, c, n = key[fresh], c[fresh], n[fresh]
+        if not len(key):
+            return
         head = np.ones(len(key), bool)
         head[1:] = key[1:] != key[:-1]
         first = np.flatnonzero(head)
@@ -275,7 +317,15 @@ def _candidates(entries: DataFrame, bands: Bands, partitions: int) -> DataFrame:
         if len(pair):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(pair), pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["key", "a", "b"])
         if hot.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[hot].astype(np.int64)), pa.array(c[hot]), pa.nulls(int(hot.sum()), pa.int64())], names=["key", "a", "b"])
+            # Segments with the same classes are one: they are named after their classes.
+            name = np.add.reduceat(mix(c.view(np.uint64)), first)
+            _, once = np.unique(name, return_index=True)
+            only_once = np.zeros(len(first), bool)
+            only_once[_maximal(c, first, run_size, once[run_size[once] > FEW])] = True
+            hot &= np.repeat(only_once, run_size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, run_size)[hot].view(np.int64)), pa.array(c[hot]), pa.nulls(int(hot.sum()), pa.int64())], names=["key", "a", "b"])
+        del key, c, n, order, fresh, head, first, run_size, size, start, left, right, few, i, j, ok, pair
+        give_back()
 
     return entries.repartition(partitions, "bucket").mapInArrow(run, "key bigint, a bigint, b bigint")
 
@@ -294,31 +344,36 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, kind: str, width: int) -> DataF
         for batch in batches:
             v = np.asarray(batch.column("bit")) - 1
             batch = batch.filter(pa.array((bits[v >> 3] >> (v & 7).astype(np.uint8)) & 1 > 0))
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 tokens, at = _shingled(part, width, powers)
                 blobs = [tokens[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(set_ids(tokens, at)), pa.array(blobs, pa.binary())], names=["id", "class", "tokens"])
 
     found = rows.select("id", "text", bit(F.col("id")).alias("bit")).mapInArrow(run, f"id {kind}, class bigint, tokens binary")
     # Repeated rows of an id give a class once.
-    return found.join(wanted, ["id", "class"], "left_semi").select("class", "tokens").dropDuplicates(["class"])
+    return found.join(bounded(wanted), ["id", "class"], "left_semi").select("class", "tokens").dropDuplicates(["class"])
+
 
+def _possible(pairs: DataFrame, lows: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs that differ in the lowest quarter of the universe by no more than linked ones may in all of it.
+
+    Two hashes that agree in 32 bits can only hide a difference, so no linked pair is lost.
+    """
 
-def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            a, b, na, nb = (np.asarray(batch.column(k)) for k in range(4))
             ok = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = len(y) - 1
-                ok[i] = bands.linked(int((y[at] == x).sum()), len(x), len(y))
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                both = np.concatenate([x, y])
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum())
+                ok[i] = len(both) - 2 * same <= bands.most_differences(int(na[i]), int(nb[i]))
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    side = lambda k: lows.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("low").alias(f"l{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "la", "lb").mapInArrow(run, "a bigint, b bigint")
 
 
 def _blocks(members: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
@@ -348,37 +403,54 @@ def _blocks(members: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
     return per.select("class", "root", "tokens", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, "block bigint, classes array<bigint>, roots array<bigint>, sizes array<bigint>, tokens binary")
 
 
-def _across(pairs: DataFrame, blocks: DataFrame, bands: Bands) -> DataFrame:
-    """Links between different components among the classes of pairs of blocks, as few as join them."""
+def _across(pairs: DataFrame, blocks: DataFrame, bands: Bands, partitions: int) -> DataFrame:
+    """Links between different components among the classes of pairs (x, y) of blocks, as few as join them."""
+
+    def compared(x: tuple, y: tuple):
+        (ra, na, ta), (rb, nb, tb) = x, y
+        if len(np.unique(np.concatenate([ra, rb]))) == 1:
+            return None
+        both, back = np.unique(np.concatenate([ta, tb]), return_inverse=True)
+        left, right = np.zeros((len(na), len(both)), np.float32), np.zeros((len(nb), len(both)), np.float32)
+        left[np.repeat(np.arange(len(na)), na), back[: len(ta)]] = 1
+        right[np.repeat(np.arange(len(nb)), nb), back[len(ta) :]] = 1
+        # Shingles of one side alone can't be shared.
+        use = left.any(0) & right.any(0)
+        inter = np.rint(left[:, use] @ right[:, use].T).astype(np.int64)
+        i, j = np.nonzero(bands.linked(inter, na[:, None], nb[None, :]) & (ra[:, None] != rb[None, :]))
+        return forest(ra[i], rb[j]) if len(i) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, todo = None, {}, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for p in todo:
+                got = compared(held[p["x"]], held[p["y"]])
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                side = []
-                for k in (0, 3):
-                    t = np.frombuffer(batch.column(k + 2)[i].as_buffer(), np.uint64)
-                    side.append((np.array(batch.column(k)[i].as_py(), np.int64), np.array(batch.column(k + 1)[i].as_py(), np.int64), t))
-                (ra, na, ta), (rb, nb, tb) = side
-                if len(np.unique(np.concatenate([ra, rb]))) == 1:
-                    continue
-                # Shingles of one side alone can't be shared.
-                both, back = np.unique(np.concatenate([ta, tb]), return_inverse=True)
-                left, right = np.zeros((len(na), len(both)), np.float32), np.zeros((len(nb), len(both)), np.float32)
-                left[np.repeat(np.arange(len(na)), na), back[: len(ta)]] = 1
-                right[np.repeat(np.arange(len(nb)), nb), back[len(ta) :]] = 1
-                use = (left.any(0)) & (right.any(0))
-                inter = np.rint(left[:, use] @ right[:, use].T).astype(np.int64)
-                x, y = np.nonzero(bands.linked(inter, na[:, None], nb[None, :]) & (ra[:, None] != rb[None, :]))
-                if len(x):
-                    node, root = forest(ra[x], rb[y])
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
-
-    side = lambda n, b: blocks.select(F.col("block").alias(b), F.col("roots").alias(f"r{n}"), F.col("sizes").alias(f"n{n}"), F.col("tokens").alias(f"t{n}"))
-    return pairs.join(side(1, "x"), "x").join(side(2, "y"), "y").select("r1", "n1", "t1", "r2", "n2", "t2").mapInArrow(run, "a bigint, b bigint")
+                at = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                if at != tile:
+                    yield from done()
+                    tile, held, todo = at, {}, batch.column(2)[i].as_py()
+                tokens = np.frombuffer(batch.column(6)[i].as_buffer(), np.uint64).copy()
+                held[batch.column(3)[i].as_py()] = (np.array(batch.column(4)[i].as_py(), np.int64), np.array(batch.column(5)[i].as_py(), np.int64), tokens)
+        yield from done()
+
+    # Blocks of one range of labels are numbered one after another, so pairs fall into few tiles.
+    of = lambda c: F.floor(F.col(c) / TILE)
+    tiles = pairs.select(of("x").alias("tx"), of("y").alias("ty"), F.struct("x", "y").alias("p")).groupBy("tx", "ty").agg(F.collect_list("p").alias("todo"))
+    tiles = settle(tiles, "tiles", 1 + partitions // 8)
+    parts = tiles.select("*", F.explode(F.array_distinct(F.concat(F.col("todo.x"), F.col("todo.y")))).alias("block"))
+    rows = parts.join(blocks, "block").select("tx", "ty", "todo", "block", "roots", "sizes", "tokens")
+    n = max(1, min(partitions, tiles.count()))
+    return rows.repartition(n, "tx", "ty").coalesce(n).sortWithinPartitions("tx", "ty").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: `id_col`, n_shingles, component_id (the smallest id reachable over links, itself included).
+    """Per row: `id_col`, n_shingles, component_id (the smallest id reachable over links, itself included), text_hash.
 
     A-Z is lower-cased, words are what stands between blanks; a text with fewer than `width` words is one shingle,
     one without words, or null, has none and is linked with nothing. Texts link when their sets' Jaccard similarity is
@@ -391,34 +463,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     bands = Bands(num // gcd(num, den), den // gcd(num, den))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = settle(_pass_one(rows, kind, width, bands), "sets")
-    slim = first.where("part is null").select("id", "class", "n", "hard")
+    first = settle(_pass_one(rows.withColumn("text_hash", F.xxhash64("text")), kind, width, bands), "sets")
+    slim = first.where("part is null").select("id", "text_hash", "class", "n", "hard")
     hard = frozenset(r["b"] for r in slim.select(F.explode("hard").alias("b")).distinct().collect())
     shared = spark.sparkContext.broadcast(_summed(first.where("part is not null").select("part", "counts")))
     entries = _pass_two(rows, width, bands, shared, hard, partitions)
     found = settle(_candidates(entries, bands, partitions), "candidates")
+    # As many tasks as these rows fill, whatever the number of shuffle partitions.
+    tasks = min(partitions, found.count() // 20_000 + 1)
     pairs = found.where("key is null").select("a", "b").distinct()
-    hot = found.where("key is not null").select("key", F.col("a").alias("class"))
+    hot = found.where("key is not null").select("key", F.col("a").alias("class")).distinct()
 
     per_class = settle(slim.where("class is not null").groupBy("class").agg(F.min("id").alias("id")), "classes")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(hot.select("class")).distinct()
-    wanted = settle(per_class.join(asked, "class", "left_semi").select("id", "class"), "wanted")
-    sets = settle(_sets_of(rows, wanted, kind, width), "tokens")
-    links = components(_verified(pairs, sets, bands))
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    paired = bounded(settle(ends(pairs), "paired", tasks))
+    lows = first.where("class is not null").select("class", "n", "low").join(paired, "class", "left_semi").dropDuplicates(["class"])
+    pairs = settle(_possible(pairs, lows, bands), "possible", tasks)
+    asked = settle(ends(pairs).union(hot.select("class")).distinct(), "asked", tasks)
+    wanted = settle(per_class.join(asked, "class", "left_semi").select("id", "class"), "wanted", tasks)
+    sets = settle(_sets_of(rows, wanted, kind, width), "tokens", min(partitions, wanted.count() // 1_000 + 1))
+    # Classes that possible pairs connect are near each other in the blocks, so that each set travels once or twice.
+    near = components(pairs)
+    alone = ends(pairs).join(near.withColumnRenamed("node", "class"), "class", "left").select(F.coalesce("root", "class").alias("key"), "class", F.col("class").alias("root"))
+    blocks = settle(_blocks(alone, sets, tasks), "blocks", tasks)
+    where = settle(blocks.select("block", F.explode("classes").alias("class")), "where", tasks)
+    spot = lambda k, n: where.select(F.col("class").alias(k), F.col("block").alias(n))
+    met = pairs.join(spot("a", "u"), "a").join(spot("b", "v"), "b").select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct()
+    links = components(settle(_across(met, blocks, bands, 2 * partitions), "across"))
 
     rooted = hot.join(links.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    members = settle(rooted.join(open_keys, "key", "left_semi"), "open")
+    members = settle(rooted.join(open_keys, "key", "left_semi"), "open", tasks)
     if members.limit(1).count():
-        blocks = settle(_blocks(members, sets, partitions), "blocks")
+        blocks = settle(_blocks(members, sets, tasks), "blocks", tasks)
         where = blocks.select("block", F.explode("classes").alias("class"))
-        spots = settle(members.join(where, "class").select("key", "block").distinct(), "spots")
-        block_pairs = spots.select("key", F.col("block").alias("x")).join(spots.select("key", F.col("block").alias("y")), "key").where("x <= y").select("x", "y").distinct()
-        more = _across(block_pairs, blocks, bands)
+        # What a segment's classes meet in is told by tiles, and segments that meet in the same ones count once.
+        tile = F.floor(F.col("block") / TILE)
+        spots = members.join(where, "class").groupBy("key").agg(F.sort_array(F.collect_set(tile)).alias("t")).select("t").distinct()
+        met = settle(spots.select(F.explode("t").alias("tx"), "t").select("tx", F.explode("t").alias("ty")).where("tx <= ty").distinct(), "met", tasks)
+        side = lambda t, n: blocks.select(tile.alias(t), F.col("block").alias(n))
+        block_pairs = met.join(side("tx", "x"), "tx").join(side("ty", "y"), "ty").where("x <= y").select("x", "y")
+        more = settle(_across(block_pairs, blocks, bands, 2 * partitions), "across")
         links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     rooted = per_class.join(links.withColumnRenamed("node", "class"), "class", "left").select("class", "id", F.coalesce("root", "class").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     named = rooted.join(least, "root").select("class", "component_id")
-    out = slim.select("id", "class", "n").join(named, "class", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = slim.select("id", "text_hash", "class", "n").join(named, "class", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with the smallest id of their component; of repeated rows (id and text) one.
+
+    Rows linked with nothing all stay, also those without words.
+    """
+    found = settle(near_duplicates(docs, width, num, den, id_col, text_col).select(F.col(id_col).alias("id"), "component_id", "text_hash"), "decided")
+    kept = without(docs, found.where(~F.col("id").eqNullSafe(F.col("component_id"))), id_col, text_col)
+    again = settle(found.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "text_hash"), "repeated")
+    if not again.limit(1).count():
+        return kept
+    return without(kept, again, id_col, text_col).unionByName(only(kept, again, id_col, text_col).dropDuplicates([id_col, text_col]))

@@ -26,12 +26,16 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/tickloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
+def settle(df: DataFrame, name: str = "t", tasks: int | None = None) -> DataFrame:
     """Write df to the shared folder and return a reader of what was written.
 
+    tasks: write with no more than so many, where the caller knows how little there is.
+
     (With zstd, whose buffers lie on the heap; those of the default codec pile up outside it over many small files.)
     """
     path = place(df.sparkSession, name)
+    if tasks:
+        df = df.coalesce(tasks)
     df.write.parquet(path, compression="zstd")
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tickloom_path = path
