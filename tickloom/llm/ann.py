@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.scratch import drop, settle
+from tickloom.llm.scratch import drop, place, remove, settle
 
 #: Neighbours of a node in the graph, and how many a node gathers from either side in a round.
-DEGREE, GATHERED = 24, 16
+DEGREE, GATHERED = 24, 12
 ROUNDS = 6
 #: Nodes that a query keeps, and opens in a round; entry points that all queries share (their number is fixed).
 BEAM, OPENED, ENTRIES = 320, 64, 512
@@ -35,7 +35,8 @@ STILL = 0.01
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.float32).reshape(-1, dim) if len(column) else np.zeros((0, dim), np.float32)
+    """Vectors travel in 16 bits, which is enough to find neighbours with; scores are made from the original ones."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.float16).reshape(-1, dim).astype(np.float32) if len(column) else np.zeros((0, dim), np.float32)
 
 
 def nodes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -52,13 +53,14 @@ def nodes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _packed(points: DataFrame, dim: int, longest: float) -> DataFrame:
-    """(node, x): vectors lengthened by one coordinate, in 32 bits."""
+    """(node, x): vectors, scaled to length 1 with one more coordinate, in 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, dim)
-            rest = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
-            full = np.concatenate([x, rest[:, None]], 1).astype(np.float32)
+            x = x / longest
+            rest = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
+            full = np.concatenate([x, rest[:, None]], 1).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in full], pa.binary())], names=["node", "x"])
 
     return points.select("node", "vector").mapInArrow(run, "node bigint, x binary")
@@ -174,20 +176,33 @@ def build_graph(packed: DataFrame, dim: int, rounds: int = ROUNDS, seed: int = 3
         changed = new.agg(F.sum(F.col("fresh").cast("long")).alias("c"), F.count(F.lit(1)).alias("n")).first()
         drop(lists)
         lists = new
+        _let_go(packed)
         if not changed["n"] or (changed["c"] or 0) < STILL * changed["n"]:
             break
     return lists
 
 
-def fat_graph(lists: DataFrame, packed: DataFrame, partitions: int) -> DataFrame:
-    """(node, ids, xs): each node's neighbours, forward and the best of the reverse ones, with their vectors."""
+def fat_graph(lists: DataFrame, packed: DataFrame, partitions: int) -> tuple[DataFrame, str, str]:
+    """(node, ids, xs): each node's neighbours, forward and the best of the reverse ones, with their vectors.
+
+    It is written in buckets by node, so that rounds of a search shuffle what they ask for and never the graph.
+    Also the table's name and place, to drop it by.
+    """
     reverse = lists.select(F.col("near").alias("node"), F.col("node").alias("near"), "score")
     both = lists.select("node", "near", "score").unionByName(reverse).groupBy("node", "near").agg(F.max("score").alias("score"))
     w = Window.partitionBy("node").orderBy(F.desc("score"), "near")
     kept = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * DEGREE)
     carried = kept.join(packed.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.collect_list(F.struct("near", "x")).alias("l"))
-    del partitions
-    return carried.select("node", F.col("l.near").alias("ids"), F.col("l.x").alias("xs"))
+    out = carried.select("node", F.col("l.near").alias("ids"), F.col("l.x").alias("xs")).repartition(partitions, "node")
+    path = place(lists.sparkSession, "fat")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    out.write.bucketBy(partitions, "node").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return lists.sparkSession.table(name), name, path
+
+
+def _let_go(df: DataFrame) -> None:
+    """Ask the driver to collect what is no longer used: the files of past shuffles stay on the executors until then."""
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = BEAM, opened: int = OPENED, seed: int = 3) -> DataFrame:
@@ -209,13 +224,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     dim = width + 1
     packed = settle(_packed(points, width, longest), "packed")
     lists = build_graph(packed, dim, seed=seed)
-    graph = settle(fat_graph(lists, packed, partitions), "fat")
+    graph, graph_name, graph_path = fat_graph(lists, packed, partitions)
+    _let_go(packed)
 
     asked = settle(nodes(queries, id_col, vector_col).select(F.col("id").alias("query"), F.col("vector").alias("q")).dropDuplicates(["query"]), "asked")
     # Entry points: a fixed number of nodes, drawn by hash. They come to the driver and go to all tasks.
     entry = packed.orderBy(F.xxhash64("node", F.lit(seed))).limit(ENTRIES).collect()
     entry_ids = np.array([r["node"] for r in entry], np.int64)
-    entry_x = np.frombuffer(b"".join(bytes(r["x"]) for r in entry), np.float32).reshape(-1, dim)[:, :width].copy()
+    entry_x = np.frombuffer(b"".join(bytes(r["x"]) for r in entry), np.float16).reshape(-1, dim)[:, :width].astype(np.float32)
     shared = spark.sparkContext.broadcast((entry_ids, entry_x))
     state_type = "query bigint, x binary, ids binary, scores binary, done binary"
 
@@ -272,9 +288,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         new = settle(state.groupBy("query").cogroup(got.groupBy("query")).applyInPandas(merged, state_type), "beam")
         drop(state)
         state = new
+        _let_go(packed)
         if not state.where(F.expr("instr(hex(done), '00') > 0")).limit(1).count():
             break
 
+    spark.sql(f"drop table {graph_name}")
+    remove(spark, graph_path)
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = 2 * k + 8
         for b in batches:
