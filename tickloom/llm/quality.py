@@ -176,13 +176,27 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 1000, id
     seen = texts.join(F.broadcast(picked), "id").select("id", "text", "label")
     free = max(1, total - sum(count.values()))
     other = texts.where(draw < min(1.0, most / free)).join(named.select("id"), "id", "left_anti").select("id", "text", F.lit(-1).alias("label"))
-    rows = sorted(seen.unionByName(other).collect(), key=lambda r: (r["id"], r["label"], r["text"]))
-    y = np.array([r["label"] for r in rows], dtype=np.int64)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+        model = _learned([r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.int64), count, seed)
+        if model:
+            yield pa.RecordBatch.from_arrays([pa.array([m.tobytes() for m in [model.weights]], pa.binary()), pa.array([[model.center, model.bias, model.prior, model.slope, model.shift]], pa.list_(pa.float64()))], names=["weights", "rest"])
+
+    # The bounded sample is learned from in one task, which leaves the driver's memory alone.
+    got = seen.unionByName(other).repartition(1).mapInArrow(learn, "weights binary, rest array<double>").first()
+    if got is None:
+        return None
+    center, bias, prior, slope, shift = got["rest"]
+    return QualityModel(np.frombuffer(bytes(got["weights"]), np.float64).copy(), center, bias, prior, slope, shift)
+
+
+def _learned(texts: list[str], y: np.ndarray, count: dict[int, int], seed: int) -> QualityModel | None:
+    """A model from texts with labels 1, 0 and -1 (unlabelled); count: how many of each label there are in all."""
     if not (y == 1).any() or not (y == -1).any() and not (y == 0).any():
         return None
-    x = features([r["text"] for r in rows])
-    damp = damping(np.array([len(r["text"].encode()) for r in rows])).astype(np.float32)
-    del rows, seen, other
+    x = features(texts)
+    damp = damping(np.array([len(t.encode()) for t in texts])).astype(np.float32)
     mean = x.mean(axis=0)
     x -= mean
     scale = np.concatenate([EMPHASIS[i : i + 256] / (x[:, i : i + 256].std(axis=0) + 1e-4) for i in range(0, x.shape[1], 256)]).astype(np.float32)
@@ -196,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 1000, id
         margin = x @ first[0].astype(np.float32)
         prior = estimate_prior(margin[positive], margin[unlabelled])
     w, b = fit_nnpu(x, positive, unlabelled, prior, seed=seed)
-    model = QualityModel(w * scale, float((w * scale) @ mean), float(b), float(prior))
+    model = QualityModel((w * scale).astype(np.float64), float((w * scale) @ mean), float(b), float(prior))
     if (y == 0).any():
         some = y >= 0
         # In proportion to what is labelled, though each kind was drawn to a bound of its own.
