@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.scratch import drop, place, remove, settle
+from tickloom.llm.scratch import drop, let_go, place, remove, settle
 
 #: Neighbours of a node in the graph, and how many a node gathers from either side in a round.
 DEGREE, GATHERED = 24, 12
@@ -176,7 +176,7 @@ def build_graph(packed: DataFrame, dim: int, rounds: int = ROUNDS, seed: int = 3
         changed = new.agg(F.sum(F.col("fresh").cast("long")).alias("c"), F.count(F.lit(1)).alias("n")).first()
         drop(lists)
         lists = new
-        _let_go(packed)
+        let_go(packed.sparkSession)
         if not changed["n"] or (changed["c"] or 0) < STILL * changed["n"]:
             break
     return lists
@@ -200,11 +200,6 @@ def fat_graph(lists: DataFrame, packed: DataFrame, partitions: int) -> tuple[Dat
     return lists.sparkSession.table(name), name, path
 
 
-def _let_go(df: DataFrame) -> None:
-    """Ask the driver to collect what is no longer used: the files of past shuffles stay on the executors until then."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = BEAM, opened: int = OPENED, seed: int = 3) -> DataFrame:
     """(query_id, rank, id, score): each query's k nearest rows other than its own, by inner product.
 
@@ -225,7 +220,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     packed = settle(_packed(points, width, longest), "packed")
     lists = build_graph(packed, dim, seed=seed)
     graph, graph_name, graph_path = fat_graph(lists, packed, partitions)
-    _let_go(packed)
+    let_go(packed.sparkSession)
 
     asked = settle(nodes(queries, id_col, vector_col).select(F.col("id").alias("query"), F.col("vector").alias("q")).dropDuplicates(["query"]), "asked")
     # Entry points: a fixed number of nodes, drawn by hash. They come to the driver and go to all tasks.
@@ -288,7 +283,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         new = settle(state.groupBy("query").cogroup(got.groupBy("query")).applyInPandas(merged, state_type), "beam")
         drop(state)
         state = new
-        _let_go(packed)
+        let_go(packed.sparkSession)
         if not state.where(F.expr("instr(hex(done), '00') > 0")).limit(1).count():
             break
 

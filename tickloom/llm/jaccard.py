@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.bytetext import Powers, give_back, mix, pieces, raw, shingles, words
 from tickloom.llm.components import components, forest
 from tickloom.llm.joins import bounded, only, without
-from tickloom.llm.scratch import settle
+from tickloom.llm.scratch import let_go, settle
 
 #: Segments for each difference that a pair may have.
 SEGMENTS = 2.5
@@ -141,7 +141,7 @@ def _shingled(part: pa.RecordBatch, width: int, powers: Powers) -> tuple[np.ndar
 def _pass_one(rows: DataFrame, kind: str, width: int, bands: Bands) -> DataFrame:
     """Rows (id, text_hash, class, n, hard, low) of every document, and the task's counters in pieces (part, counts).
 
-    low: the shingles in the lowest quarter of the universe, in 32 bits each.
+    low: the shingles in the lowest quarter of the universe, in 16 bits each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,7 @@ def _pass_one(rows: DataFrame, kind: str, width: int, bands: Bands) -> DataFrame
                         hard[some[which[j]]].append(int(band[j]))
                 ids = pa.array(set_ids(tokens, at), mask=size == 0)
                 low = [t[: np.searchsorted(t, np.uint64(1 << 62))] for t in np.split(tokens, at[1:-1])]
-                low = [(t >> np.uint64(30)).astype(np.uint32).tobytes() for t in low]
+                low = [np.sort((t >> np.uint64(20)).astype(np.uint16)).tobytes() for t in low]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), ids, pa.array(size), pa.array(hard, pa.list_(pa.int32())), pa.array(low, pa.binary()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=names)
         give_back()
         if id_type is not None:
@@ -357,7 +357,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, kind: str, width: int) -> DataF
 def _possible(pairs: DataFrame, lows: DataFrame, bands: Bands) -> DataFrame:
     """Pairs that differ in the lowest quarter of the universe by no more than linked ones may in all of it.
 
-    Two hashes that agree in 32 bits can only hide a difference, so no linked pair is lost.
+    Two hashes that agree in 16 bits can only hide a difference, so no linked pair is lost.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +365,7 @@ def _possible(pairs: DataFrame, lows: DataFrame, bands: Bands) -> DataFrame:
             a, b, na, nb = (np.asarray(batch.column(k)) for k in range(4))
             ok = np.zeros(len(a), bool)
             for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                x, y = np.frombuffer(x.as_buffer(), np.uint16), np.frombuffer(y.as_buffer(), np.uint16)
                 both = np.concatenate([x, y])
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
@@ -469,6 +469,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     shared = spark.sparkContext.broadcast(_summed(first.where("part is not null").select("part", "counts")))
     entries = _pass_two(rows, width, bands, shared, hard, partitions)
     found = settle(_candidates(entries, bands, partitions), "candidates")
+    let_go(spark)
     # As many tasks as these rows fill, whatever the number of shuffle partitions.
     tasks = min(partitions, found.count() // 20_000 + 1)
     pairs = found.where("key is null").select("a", "b").distinct()
@@ -479,9 +480,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     paired = bounded(settle(ends(pairs), "paired", tasks))
     lows = first.where("class is not null").select("class", "n", "low").join(paired, "class", "left_semi").dropDuplicates(["class"])
     pairs = settle(_possible(pairs, lows, bands), "possible", tasks)
+    let_go(spark)
     asked = settle(ends(pairs).union(hot.select("class")).distinct(), "asked", tasks)
     wanted = settle(per_class.join(asked, "class", "left_semi").select("id", "class"), "wanted", tasks)
     sets = settle(_sets_of(rows, wanted, kind, width), "tokens", min(partitions, wanted.count() // 1_000 + 1))
+    let_go(spark)
     # Classes that possible pairs connect are near each other in the blocks, so that each set travels once or twice.
     near = components(pairs)
     alone = ends(pairs).join(near.withColumnRenamed("node", "class"), "class", "left").select(F.coalesce("root", "class").alias("key"), "class", F.col("class").alias("root"))
@@ -491,6 +494,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     met = pairs.join(spot("a", "u"), "a").join(spot("b", "v"), "b").select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct()
     links = components(settle(_across(met, blocks, bands, 2 * partitions), "across"))
 
+    let_go(spark)
     rooted = hot.join(links.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     members = settle(rooted.join(open_keys, "key", "left_semi"), "open", tasks)

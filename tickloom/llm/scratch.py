@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,12 @@ def drop(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collect what is no longer used: the files of past shuffles stay on the executors until the driver does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
