@@ -62,6 +62,33 @@ def test_nearest_neighbours(spark):
     assert sorted((r["query_id"], r["rank"]) for r in ann.search(few, few, 20).collect()) == [(q, k) for q in range(3) for k in (1, 2)]
 
 
+def recall(spark, x, queries, **options):
+    """Of the 20 nearest rows of x by brute force for each of queries (rows of x, or vectors from outside), the share found."""
+    kind = "vec_id bigint, embedding array<float>"
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], kind)
+    asked = df.where(F.col("vec_id").isin(list(queries))) if isinstance(queries, range) else spark.createDataFrame([(10**6 + k, v) for k, v in enumerate(queries.tolist())], kind)
+    found = {}
+    for r in ann.search(df, asked, 20, **options).collect():
+        found.setdefault(r["query_id"], set()).add(r["id"])
+    v, hits, total = x.astype(float), 0, 0
+    for key, q in zip(queries, v[list(queries)], strict=True) if isinstance(queries, range) else enumerate(queries.astype(float), 10**6):
+        s = v @ q
+        if key < len(v):
+            s[key] = -np.inf
+        hits, total = hits + len(found.get(key, set()) & set(np.argsort(-s)[:20].tolist())), total + 20
+    return hits / total
+
+
+def test_nearest_neighbours_in_islands(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ENTRIES", 8)  # fewer than there are groups, as in a large table
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 16))
+    x = np.float32(np.repeat(centres, 30, 0) + 0.05 * rng.normal(size=(1800, 16)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, x, range(0, 1800, 30), beam=60, opened=8) >= 0.9
+    assert recall(spark, x, np.float32(centres + 0.05 * rng.normal(size=(60, 16))), beam=60, opened=8) >= 0.9
+
+
 # -- 2
 
 def brute_windows(docs, items, width=5, threshold=0.75):

@@ -6,10 +6,15 @@ neighbours, in joins on the cluster: each node gathers a bounded number of its n
 their vectors, they are compared with each other, and what improves a list is sent to the node that it belongs to.
 
 To search largest inner products in a graph of nearest points, vectors get one more coordinate that brings all of them
-to the same length; the order of inner products with a query is then the order of distances to it.
+to the same length; the order of inner products with a query is then the order of distances to it. The coordinate is
+never stored: distances are made in double precision from vectors in 32 bits, so short vectors keep theirs apart.
+
+Tight groups can be islands of the graph. One node of each island takes part in a graph of such nodes, and so on until
+all hang together, and these long links join the graph.
 
 Queries search greedily, all at once: each keeps the best nodes that it has met, and in each round those of them not
-yet opened are joined with the graph, whose nodes carry their neighbours' vectors, and scored where they are.
+yet opened are joined with the graph, whose nodes carry their neighbours' vectors, and scored where they are. A query
+starts at its own node, if it has one, and at nodes drawn from all, from the islands' and from the longest.
 Scores are computed again in double precision from the original vectors before ranks are given.
 """
 
@@ -23,20 +28,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.components import components
 from tickloom.llm.scratch import drop, let_go, place, remove, settle
 
-#: Neighbours of a node in the graph, and how many a node gathers from either side in a round.
+#: Neighbours of a node in the graph, all gathered in a round, and how many of those that it is a neighbour of.
 DEGREE, GATHERED = 24, 12
 ROUNDS = 6
-#: Nodes that a query keeps, and opens in a round; entry points that all queries share (their number is fixed).
+#: Nodes that a query keeps, and opens in a round, and entry points that all queries share.
 BEAM, OPENED, ENTRIES = 320, 64, 512
 #: A round of NN-descent that changes fewer neighbours than this share of all is the last.
 STILL = 0.01
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    """Vectors travel in 16 bits, which is enough to find neighbours with; scores are made from the original ones."""
-    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.float16).reshape(-1, dim).astype(np.float32) if len(column) else np.zeros((0, dim), np.float32)
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.float32).reshape(-1, dim) if len(column) else np.zeros((0, dim), np.float32)
+
+
+def _rest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared lengths of vectors no longer than 1, and the coordinate that brings them to length 1."""
+    n = (x * x).sum(1)
+    return n, np.sqrt(np.maximum(1 - n, 0))
 
 
 def nodes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -53,15 +64,12 @@ def nodes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _packed(points: DataFrame, dim: int, longest: float) -> DataFrame:
-    """(node, x): vectors, scaled to length 1 with one more coordinate, in 16 bits."""
+    """(node, x): vectors, the longest scaled to length 1, in 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, dim)
-            x = x / longest
-            rest = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
-            full = np.concatenate([x, rest[:, None]], 1).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in full], pa.binary())], names=["node", "x"])
+            x = (np.asarray(b.column(1).flatten(), np.float64).reshape(-1, dim) / longest).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "x"])
 
     return points.select("node", "vector").mapInArrow(run, "node bigint, x binary")
 
@@ -87,7 +95,7 @@ def _start(packed: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def _merged_lists(candidates: DataFrame, partitions: int) -> DataFrame:
-    """Rows (node, near, score, fresh, open): the DEGREE best of each node, an older entry before its repetition."""
+    """Rows (node, near, score, fresh): the DEGREE best of each node, an older entry before its repetition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in batches]
@@ -112,21 +120,23 @@ def _merged_lists(candidates: DataFrame, partitions: int) -> DataFrame:
 
 def _meet(lists: DataFrame, packed: DataFrame, dim: int, partitions: int, seed: int) -> DataFrame:
     """Candidates (node, near, score, fresh) from one round: neighbours of each node compared with each other."""
-    forward = lists.select("node", "near", "score", "fresh")
-    reverse = lists.select(F.col("near").alias("node"), F.col("node").alias("near"), "score", "fresh")
+    forward = lists.select("node", "near", "fresh", F.lit(True).alias("own"))
+    reverse = lists.select(F.col("near").alias("node"), F.col("node").alias("near"), "fresh", F.lit(False).alias("own"))
     both = forward.unionByName(reverse)
-    # The node itself takes part by way of its own list; of a popular node's reverse side a bounded, drawn number comes.
+    # A node's own list comes whole, as its entries are not fresh afterwards; of a popular node's reverse side a bounded, drawn number.
     draw = F.xxhash64("node", "near", F.lit(seed))
-    w = Window.partitionBy("node").orderBy((~F.col("fresh")).cast("int"), draw)
-    chosen = both.groupBy("node", "near").agg(F.max("fresh").alias("fresh")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * GATHERED)
-    carried = chosen.join(packed.withColumnRenamed("node", "near"), "near").select("node", "near", "fresh", "x")
+    w = Window.partitionBy("node", "own").orderBy((~F.col("fresh")).cast("int"), draw)
+    chosen = both.groupBy("node", "near").agg(F.max("fresh").alias("fresh"), F.max("own").alias("own")).withColumn("r", F.row_number().over(w)).where(F.col("own") | (F.col("r") <= GATHERED))
+    # What a list doesn't take is not sent to it.
+    worst = lists.groupBy(F.col("node").alias("near")).agg(F.when(F.count(F.lit(1)) >= DEGREE, F.min("score")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
+    carried = chosen.join(packed.withColumnRenamed("node", "near").join(worst, "near"), "near").select("node", "near", "fresh", "x", "least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in batches]
         if not tables:
             return
         t = pa.concat_tables(tables).combine_chunks()
-        node, near, fresh = (t.column(k).to_numpy() for k in range(3))
+        node, near, fresh, least = (t.column(k).to_numpy() for k in (0, 1, 2, 4))
         x = _matrix(t.column(3).combine_chunks(), dim)
         order = np.argsort(node, kind="stable")
         cuts = np.append(np.flatnonzero(np.append(True, np.diff(node[order]) != 0)), len(node))
@@ -135,22 +145,23 @@ def _meet(lists: DataFrame, packed: DataFrame, dim: int, partitions: int, seed:
             idx = order[a:b]
             if len(idx) < 2:
                 continue
-            v = x[idx]
-            s = v @ v.T
+            v = x[idx].astype(np.float64)
+            n, r = _rest(v)
+            s = (2 * (v @ v.T) - n[:, None] - n[None, :] - (r[:, None] - r[None, :]) ** 2).astype(np.float32)
             s[~(fresh[idx][:, None] | fresh[idx][None, :])] = -np.inf
             np.fill_diagonal(s, -np.inf)
-            # Each gets the few best of those it met here; a list takes no more from one meeting anyway.
-            k = min(6, len(idx) - 1)
-            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            got = np.take_along_axis(s, best, 1)
-            ok = np.isfinite(got)
-            out.append((np.repeat(near[idx], k)[ok.ravel()], near[idx][best][ok], got[ok]))
+            i, j = np.nonzero(s > least[idx][:, None])
+            out.append((near[idx[i]], near[idx[j]], s[i, j]))
         if out:
             a, b, s = (np.concatenate(z) for z in zip(*out, strict=True))
-            order = np.lexsort((b, a))
+            order = np.lexsort((b, -s, a))
             a, b, s = a[order], b[order], s[order]
-            keep = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(s[keep].astype(np.float32)), pa.array(np.ones(int(keep.sum()), bool))], names=["node", "near", "score", "fresh"])
+            keep = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+            a, b, s = a[keep], b[keep], s[keep]
+            # A list takes no more than DEGREE.
+            head = np.flatnonzero(np.append(True, a[1:] != a[:-1]))[: len(a)]
+            keep = np.arange(len(a)) - np.repeat(head, np.diff(np.append(head, len(a)))) < DEGREE
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(s[keep]), pa.array(np.ones(int(keep.sum()), bool))], names=["node", "near", "score", "fresh"])
 
     return carried.repartition(partitions, "node").mapInArrow(run, "node bigint, near bigint, score float, fresh boolean")
 
@@ -158,53 +169,76 @@ def _meet(lists: DataFrame, packed: DataFrame, dim: int, partitions: int, seed:
 def _scored(pairs: DataFrame, packed: DataFrame, dim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = (_matrix(b.column(2), dim) * _matrix(b.column(3), dim)).sum(1)
+            x, y = (_matrix(b.column(k), dim).astype(np.float64) for k in (2, 3))
+            s = -((x - y) ** 2).sum(1) - (_rest(x)[1] - _rest(y)[1]) ** 2
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.astype(np.float32)), pa.array(np.ones(b.num_rows, bool))], names=["node", "near", "score", "fresh"])
 
     left, right = packed.withColumnRenamed("x", "a"), packed.select(F.col("node").alias("near"), F.col("x").alias("b"))
     return pairs.join(left, "node").join(right, "near").select("node", "near", "a", "b").mapInArrow(run, "node bigint, near bigint, score float, fresh boolean")
 
 
-def build_graph(packed: DataFrame, dim: int, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
-    """(node, near, score): the neighbour graph, by NN-descent."""
+def build_graph(packed: DataFrame, dim: int, seed: int = 3) -> DataFrame:
+    """(node, near, score): the neighbour graph, by NN-descent. """
     partitions = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = packed.count()
+    n, k = packed.count(), 0
     lists = settle(_merged_lists(_scored(_start(packed, n, seed), packed, dim), partitions), "graph0")
-    for k in range(rounds):
+    while k < ROUNDS:
         found = _meet(lists, packed, dim, partitions, seed + k)
         new = settle(_merged_lists(lists.withColumn("fresh", F.lit(False)).unionByName(found), partitions), f"graph{k + 1}")
         changed = new.agg(F.sum(F.col("fresh").cast("long")).alias("c"), F.count(F.lit(1)).alias("n")).first()
         drop(lists)
-        lists = new
+        lists, k = new, k + 1
         let_go(packed.sparkSession)
         if not changed["n"] or (changed["c"] or 0) < STILL * changed["n"]:
             break
     return lists
 
 
-def fat_graph(lists: DataFrame, packed: DataFrame, partitions: int) -> tuple[DataFrame, str, str]:
+def joined_islands(lists: DataFrame, packed: DataFrame, dim: int, seed: int = 3) -> tuple[list[DataFrame], DataFrame | None]:
+    """Graphs that together are in one piece: that of all nodes, that of one node of each of its islands, and so on.
+
+    Also the nodes of the second (node, x), None if the first is in one piece. An island has more nodes than a list, so
+    there are few graphs.
+    """
+    levels, heads, left = [lists], None, packed
+    while True:
+        inner = components(levels[-1].select(F.col("node").alias("a"), F.col("near").alias("b")))
+        left = settle(left.join(inner.select("node"), "node", "left_anti"), "heads")
+        if left.count() < 2:
+            return levels, heads
+        heads = left if heads is None else heads
+        levels.append(build_graph(left, dim, seed))
+
+
+def fat_graph(levels: list[DataFrame], packed: DataFrame, partitions: int) -> tuple[DataFrame, str, str]:
     """(node, ids, xs): each node's neighbours, forward and the best of the reverse ones, with their vectors.
 
     It is written in buckets by node, so that rounds of a search shuffle what they ask for and never the graph.
     Also the table's name and place, to drop it by.
     """
-    reverse = lists.select(F.col("near").alias("node"), F.col("node").alias("near"), "score")
-    both = lists.select("node", "near", "score").unionByName(reverse).groupBy("node", "near").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("node").orderBy(F.desc("score"), "near")
-    kept = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * DEGREE)
+    kept = None
+    for lists in levels:
+        reverse = lists.select(F.col("near").alias("node"), F.col("node").alias("near"), "score")
+        both = lists.select("node", "near", "score").unionByName(reverse).groupBy("node", "near").agg(F.max("score").alias("score"))
+        w = Window.partitionBy("node").orderBy(F.desc("score"), "near")
+        best = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * DEGREE).select("node", "near")
+        kept = best if kept is None else kept.unionByName(best)
+    if len(levels) > 1:
+        kept = kept.distinct()
     carried = kept.join(packed.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.collect_list(F.struct("near", "x")).alias("l"))
     out = carried.select("node", F.col("l.near").alias("ids"), F.col("l.x").alias("xs")).repartition(partitions, "node")
-    path = place(lists.sparkSession, "fat")
+    path = place(packed.sparkSession, "fat")
     name = path.rsplit("/", 1)[1].replace("-", "_")
     out.write.bucketBy(partitions, "node").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return lists.sparkSession.table(name), name, path
+    return packed.sparkSession.table(name), name, path
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = BEAM, opened: int = OPENED, seed: int = 3) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int | None = None, opened: int | None = None, seed: int = 3) -> DataFrame:
     """(query_id, rank, id, score): each query's k nearest rows other than its own, by inner product.
 
     queries: rows of the same columns. Of a group of equal vectors the smallest ids come first; equal scores are ordered
-    by id. A query with an unusable vector gives no rows; repeated ids count once.
+    by id. A query with an unusable vector gives no rows; repeated ids count once. beam, opened: nodes that a query keeps,
+    and opens in a round.
     """
     spark = vectors.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -216,30 +250,43 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     if stats["d"] != stats["e"]:
         raise ValueError("vectors differ in length")
     width, longest = stats["d"], float(stats["s"]) ** 0.5
-    dim = width + 1
+    beam, opened = beam or BEAM, opened or OPENED
     packed = settle(_packed(points, width, longest), "packed")
-    lists = build_graph(packed, dim, seed=seed)
-    graph, graph_name, graph_path = fat_graph(lists, packed, partitions)
+    levels, heads = joined_islands(build_graph(packed, width, seed), packed, width, seed)
+    graph, graph_name, graph_path = fat_graph(levels, packed, partitions)
     let_go(packed.sparkSession)
 
     asked = settle(nodes(queries, id_col, vector_col).select(F.col("id").alias("query"), F.col("vector").alias("q")).dropDuplicates(["query"]), "asked")
-    # Entry points: a fixed number of nodes, drawn by hash. They come to the driver and go to all tasks.
-    entry = packed.orderBy(F.xxhash64("node", F.lit(seed))).limit(ENTRIES).collect()
-    entry_ids = np.array([r["node"] for r in entry], np.int64)
-    entry_x = np.frombuffer(b"".join(bytes(r["x"]) for r in entry), np.float16).reshape(-1, dim)[:, :width].astype(np.float32)
+    # Entry points: a bounded number of nodes, drawn by hash from all and from the islands', and the longest, which have
+    # the largest inner products with many. They come to the driver and go to all tasks.
+    entries, drawn = max(ENTRIES, 2 * beam), F.xxhash64("node", F.lit(seed))
+    entry = {r["node"]: bytes(r["x"]) for df in (packed, heads) if df is not None for r in df.orderBy(drawn).limit(entries).collect()}
+    far = points.orderBy(F.desc(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), "node").limit(entries).select("node")
+    entry |= {r["node"]: bytes(r["x"]) for r in packed.join(far, "node").collect()}
+    entry_ids = np.array(list(entry), np.int64)
+    entry_x = np.frombuffer(b"".join(entry.values()), np.float32).reshape(-1, width)
     shared = spark.sparkContext.broadcast((entry_ids, entry_x))
     state_type = "query bigint, x binary, ids binary, scores binary, done binary"
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = shared.value
         for b in batches:
-            q = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, width).astype(np.float32)
-            s = q @ x.T
-            best = np.argsort(-s, axis=1, kind="stable")[:, :opened]
-            rows = [(ids[i].tobytes(), r[i].astype(np.float32).tobytes(), np.zeros(len(i), bool).tobytes()) for i, r in zip(best, s, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in q], pa.binary()), *(pa.array([r[j] for r in rows], pa.binary()) for j in range(3))], names=["query", "x", "ids", "scores", "done"])
-
-    state = settle(asked.select("query", "q").mapInArrow(begin, state_type), "beam")
+            q = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, width)
+            s = q.astype(np.float32) @ x.T
+            best = np.argsort(-s, axis=1, kind="stable")[:, : max(1, opened - 1)]
+            rows = []
+            for i, r, v, home in zip(best, np.take_along_axis(s, best, 1), q, b.column(2).to_pylist(), strict=True):
+                n = ids[i]
+                if home is not None and home not in n:
+                    n, r = np.append(n, home), np.append(r, np.float32(v @ v / longest))
+                    order = np.argsort(-r, kind="stable")
+                    n, r = n[order], r[order]
+                rows.append((n.tobytes(), r.astype(np.float32).tobytes(), np.zeros(len(n), bool).tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.astype(np.float32).tobytes() for v in q], pa.binary()), *(pa.array([r[j] for r in rows], pa.binary()) for j in range(3))], names=["query", "x", "ids", "scores", "done"])
+
+    # A query whose vector is in the table starts at its own node too.
+    homes = asked.join(points.withColumnRenamed("vector", "q"), "q", "left").select("query", "q", "node")
+    state = settle(homes.mapInArrow(begin, state_type), "beam")
 
     def frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The best nodes of each query that are not opened yet, with the score that is needed to stay in its beam."""
@@ -259,7 +306,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             for x, least, ids, xs in zip(b.column(1), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
                 q = np.frombuffer(x.as_buffer(), np.float32)
                 n = np.asarray(ids.values)
-                s = _matrix(xs.values, dim)[:, :width] @ q
+                s = _matrix(xs.values, width) @ q
                 ok = s > least
                 out_i.append(n[ok].tobytes())
                 out_s.append(s[ok].tobytes())
