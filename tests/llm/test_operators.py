@@ -89,6 +89,28 @@ def test_nearest_neighbours_in_islands(spark, monkeypatch):
     assert recall(spark, x, np.float32(centres + 0.05 * rng.normal(size=(60, 16))), beam=60, opened=8) >= 0.9
 
 
+def test_nearest_neighbours_of_uneven_lengths(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 16))
+    x *= 10 ** rng.uniform(-0.3, 0.3, (600, 1)) * 1e-8 / np.linalg.norm(x, axis=1, keepdims=True)
+    x[0] *= 1e8  # beside a long one, all others are short
+    assert recall(spark, np.float32(x), range(0, 600, 6), beam=60, opened=8) >= 0.9
+
+
+def test_nearest_neighbours_lists_settle(spark):
+    rng = np.random.default_rng(6)
+    x = np.float32(rng.normal(size=(3000, 24)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(k, v.tobytes()) for k, v in enumerate(x)], "node bigint, x binary")
+    got = {}
+    for r in ann.build_graph(points, 24).collect():
+        got.setdefault(r["node"], set()).add(r["near"])
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    best = np.argsort(-s, axis=1)[:, : ann.DEGREE]
+    assert sum(len(got[k] & set(b.tolist())) for k, b in enumerate(best)) >= 0.97 * best.size
+
+
 # -- 2
 
 def brute_windows(docs, items, width=5, threshold=0.75):

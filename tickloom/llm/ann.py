@@ -33,9 +33,10 @@ from tickloom.llm.scratch import drop, let_go, place, remove, settle
 
 #: Neighbours of a node in the graph, all gathered in a round, and how many of those that it is a neighbour of.
 DEGREE, GATHERED = 24, 12
-ROUNDS = 6
-#: Nodes that a query keeps, and opens in a round, and entry points that all queries share.
+#: Nodes that a query keeps, and opens in a round, and entry points that all queries share: at least so many, and more
+#: with the root of the number of nodes.
 BEAM, OPENED, ENTRIES = 320, 64, 512
+GROWTH = 2.5
 #: A round of NN-descent that changes fewer neighbours than this share of all is the last.
 STILL = 0.01
 
@@ -178,11 +179,11 @@ def _scored(pairs: DataFrame, packed: DataFrame, dim: int) -> DataFrame:
 
 
 def build_graph(packed: DataFrame, dim: int, seed: int = 3) -> DataFrame:
-    """(node, near, score): the neighbour graph, by NN-descent. """
+    """(node, near, score): the neighbour graph, by NN-descent. Lists only get better, so the rounds end."""
     partitions = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n, k = packed.count(), 0
     lists = settle(_merged_lists(_scored(_start(packed, n, seed), packed, dim), partitions), "graph0")
-    while k < ROUNDS:
+    while True:
         found = _meet(lists, packed, dim, partitions, seed + k)
         new = settle(_merged_lists(lists.withColumn("fresh", F.lit(False)).unionByName(found), partitions), f"graph{k + 1}")
         changed = new.agg(F.sum(F.col("fresh").cast("long")).alias("c"), F.count(F.lit(1)).alias("n")).first()
@@ -238,7 +239,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     queries: rows of the same columns. Of a group of equal vectors the smallest ids come first; equal scores are ordered
     by id. A query with an unusable vector gives no rows; repeated ids count once. beam, opened: nodes that a query keeps,
-    and opens in a round.
+    and opens in a round; by default they grow with the table.
     """
     spark = vectors.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -250,7 +251,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     if stats["d"] != stats["e"]:
         raise ValueError("vectors differ in length")
     width, longest = stats["d"], float(stats["s"]) ** 0.5
-    beam, opened = beam or BEAM, opened or OPENED
+    beam = beam or max(BEAM, int(GROWTH * stats["n"] ** 0.5))
+    opened = opened or max(OPENED, beam // 5)
     packed = settle(_packed(points, width, longest), "packed")
     levels, heads = joined_islands(build_graph(packed, width, seed), packed, width, seed)
     graph, graph_name, graph_path = fat_graph(levels, packed, partitions)
