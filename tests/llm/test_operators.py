@@ -161,6 +161,20 @@ def test_decontamination(spark):
     assert decontam.clean(df, bench.where("false")).count() == len(docs)
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    rnd = random.Random(3)
+    item = prose(rnd, 59).split()
+    while len(set(zip(*[item[k:] for k in range(5)], strict=False))) < 55:
+        item = prose(rnd, 59).split()
+    docs = {0: item[:-1], 1: item[3:], 2: item[:46], 3: item[:45], 4: item[:4], 5: [*item[:57], "new"]}
+    df = frame(spark, [(k, " ".join(w), None) for k, w in docs.items()], True)
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["similarity"], r["start"], r["n_words"]) for r in decontam.matches(df, bench).collect()}
+    want = {0: 54 / 55, 1: 52 / 55, 2: 42 / 55, 5: 53 / 56}
+    assert got == {k: (pytest.approx(v), 0, len(docs[k])) for k, v in want.items()}
+    assert {r["doc_id"] for r in decontam.clean(df, bench).collect()} == {3, 4}
+
+
 def test_multi_index_reaches_the_radius():
     near = set(decontam.neighbourhood())
     rnd = random.Random(1)

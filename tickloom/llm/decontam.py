@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-A window has as many words as the benchmark item it is held against. Windows are fingerprinted with SimHash over
+A window has as many words as the benchmark item it is held against; a shorter text is one window, the whole text. Windows are fingerprinted with SimHash over
 their word shingles; a multi-index over blocks of the fingerprint, with the neighbourhood of each block, gives every
 item fingerprint within a Hamming radius; what it gives is verified by the exact similarity of weighted shingles
 (weights are multiplicities: the sum of the smaller counts over the sum of the larger).
@@ -66,8 +66,8 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float
     """(doc_id, text_hash, item_id, similarity, start, n_words): per document and item the most similar window.
 
     start counts words from 0; of equally similar windows the first is given. Items with fewer than `width` words are
-    one shingle of all their words; null or blank items match nothing, equal items each match. Documents shorter than
-    an item don't match it. A null text has no windows; a null id is kept, and repeated rows give one row.
+    one shingle of all their words; null or blank items match nothing, equal items each match. A document shorter than
+    an item is held against it whole, and n_words is then its own number of words. A null text has no windows; a null id is kept, and repeated rows give one row.
     """
     worded = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"), F.expr(f"size({words(f'`{item_text_col}`')})").alias("n_words")).where("n_words > 0")
     bench = settle(worded, "items")
@@ -83,13 +83,14 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float
         # The texts are not carried along: what is exploded is as wide as a few numbers. (An inner explode would
         # have a filter put under it that makes the shingles twice.)
         hits = spread.select("doc_id", "text_hash", F.size("s").alias("n"), F.posexplode_outer("s").alias("pos", "h")).join(bounded(settle(spots, "spots")), "h")
-        hits = hits.select("doc_id", "text_hash", "n", "pos", F.explode("spots").alias("n_words")).withColumn("span", F.col("n_words") - (k - 1)).where("n >= span")
+        hits = hits.select("doc_id", "text_hash", "n", "pos", F.explode("spots").alias("n_words")).withColumn("span", F.col("n_words") - (k - 1)).where(f"n >= span * {threshold!r}D - 1e-9D")
         # A window moved right until its first shingle is one of an item loses nothing that it shares, so windows that
         # begin at such places, and the last one, are all that is needed; and of their shingles enough must be such.
-        per = hits.groupBy("doc_id", "text_hash", "n", "n_words", "span").agg(F.sort_array(F.collect_set("pos")).alias("p")).withColumn("need", F.expr(f"cast(ceil(2 * span * {threshold / (1 + threshold)!r}D - 1e-9D) as int)")).where("size(p) >= need")
-        starts = F.expr("""array_distinct(concat(
+        per = hits.groupBy("doc_id", "text_hash", "n", "n_words", "span").agg(F.sort_array(F.collect_set("pos")).alias("p")).withColumn("need", F.expr(f"cast(ceil((least(n, span) + span) * {threshold / (1 + threshold)!r}D - 1e-9D) as int)")).where("size(p) >= need")
+        # A text shorter than the item is one window.
+        starts = F.expr("""case when n < span then array(0) else array_distinct(concat(
             transform(filter(sequence(0, size(p) - need), i -> p[i + need - 1] - p[i] < span and p[i] <= n - span), i -> p[i]),
-            case when size(filter(p, x -> x >= n - span)) >= need then array(n - span) else cast(array() as array<int>) end))""")
+            case when size(filter(p, x -> x >= n - span)) >= need then array(n - span) else cast(array() as array<int>) end)) end""")
         places = settle(per.select("doc_id", "text_hash", "n_words", "span", F.explode(starts).alias("start")).distinct(), "places")
         held = only(docs, places.select(F.col("doc_id").alias("id"), "text_hash"), id_col, text_col)
         held = held.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"), shingle_hashes(f"`{text_col}`", k).alias("s"))
@@ -106,7 +107,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float
         shared = common("item_shingles", "window")
         sure = pairs.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("window") + F.size("item_shingles") - F.col("shared"))).where(F.col("similarity") >= threshold)
         sure = settle(sure.select("n_words", "window", "item_id", "similarity"), "matches")
-        got = windows.join(sure, ["n_words", "window"]).select("doc_id", "text_hash", "item_id", "similarity", "start", "n_words")
+        got = windows.join(sure, ["n_words", "window"]).select("doc_id", "text_hash", "item_id", "similarity", "start", (F.size("window") + (k - 1)).alias("n_words"))
         found = got if found is None else found.unionByName(got)
     if found is None:
         return texts.join(bench, F.lit(False)).select("doc_id", "text_hash", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), "n_words")
