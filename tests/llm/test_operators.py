@@ -175,6 +175,15 @@ def test_decontamination_of_texts_shorter_than_the_item(spark):
     assert {r["doc_id"] for r in decontam.clean(df, bench).collect()} == {3, 4}
 
 
+def test_decontamination_of_repeated_tails(spark):
+    rnd = random.Random(4)
+    items = [(k, " ".join("".join(rnd.choices("abcdefghijklmnopqrst", k=5)) for _ in range(150))) for k in range(60)]
+    # 146 shingles, of which the last 20 give way to 4 new ones and one that comes 16 times.
+    docs = [(k, " ".join([*t.split()[:130], *["."] * 20])) for k, t in items]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.matches(frame(spark, [(*d, None) for d in docs]), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(k, k): pytest.approx(126 / 166) for k, _ in items}
+
+
 def test_multi_index_reaches_the_radius():
     near = set(decontam.neighbourhood())
     rnd = random.Random(1)

@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 A window has as many words as the benchmark item it is held against; a shorter text is one window, the whole text. Windows are fingerprinted with SimHash over
-their word shingles; a multi-index over blocks of the fingerprint, with the neighbourhood of each block, gives every
+their word shingles, repetitions numbered; a multi-index over blocks of the fingerprint, with the neighbourhood of each block, gives every
 item fingerprint within a Hamming radius; what it gives is verified by the exact similarity of weighted shingles
 (weights are multiplicities: the sum of the smaller counts over the sum of the larger).
 
@@ -42,12 +42,22 @@ def shingle_hashes(text: str, width: int) -> Column:
 
 
 def simhash(shingles: str) -> Column:
-    """64 bits: each is set where more of the hashes (with their multiplicity) have it than not."""
+    """64 bits: each is set where more of the hashes have it than not."""
     return F.expr(f"""
     aggregate(sequence(0, 63), 0L, (f, b) ->
       f | shiftleft(case when aggregate({shingles}, 0, (s, h) -> s + 2 * cast(shiftright(h, b) & 1L as int) - 1) > 0 then 1L else 0L end, b))""")
 
 
+def numbered(shingles: str) -> Column:
+    """The hashes with every repetition made another one, by its number: the multiset as a set.
+
+    A shingle that fills much of a window would else outvote all others in the fingerprint.
+    """
+    return F.expr(f"""
+    case when size(array_distinct({shingles})) = size({shingles}) then {shingles}
+      else transform({shingles}, (h, i) -> case when array_position({shingles}, h) = i + 1 then h else xxhash64(h, size(filter(slice({shingles}, 1, i), x -> x = h))) end) end""")
+
+
 def blocks_of(fingerprint: str) -> Column:
     return F.expr(f"transform(sequence(0, {BLOCKS - 1}), k -> struct(k as block, cast(shiftright({fingerprint}, k * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}L as int) as value))")
 
@@ -97,9 +107,9 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float
         windows = places.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
         windows = windows.select("doc_id", "text_hash", "n_words", "start", F.expr("slice(s, start + 1, span)").alias("window")).dropDuplicates(["doc_id", "text_hash", "n_words", "start"])
         windows = settle(windows, "windows")
-        distinct = windows.select("n_words", "window").distinct().withColumn("print", simhash("window"))
+        distinct = windows.select("n_words", "window").distinct().withColumn("votes", numbered("window")).withColumn("print", simhash("votes")).drop("votes")
         probes = distinct.select("*", F.explode(blocks_of("print")).alias("b")).select("n_words", "window", "print", "b.block", "b.value")
-        prints = own.withColumn("item_print", simhash("item_shingles")).select("*", F.explode(blocks_of("item_print")).alias("b"))
+        prints = own.withColumn("votes", numbered("item_shingles")).withColumn("item_print", simhash("votes")).drop("votes").select("*", F.explode(blocks_of("item_print")).alias("b"))
         near = F.explode(F.array(*[F.col("b.value").bitwiseXOR(F.lit(x)) for x in neighbourhood()]))
         index = prints.select("item_id", "n_words", "item_shingles", "item_print", "b.block", near.alias("value"))
         pairs = probes.join(index, ["n_words", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
