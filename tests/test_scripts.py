@@ -69,6 +69,20 @@ def test_plans_equal_the_model(spark, n):
                 assert small[f"R{k}"] == y, (e, t)
 
 
+@pytest.mark.parametrize("script", ["A: BARSSINCEN(C>50,3);", "A: BARSSINCEN(C>50,V);", "A: MA(C,10*2);", "N := 4*5; A: MA(C,N);", "A: MA(C,MAX(3,20));", "A: MA(O,V);", "A: O[V];", "A: LAST(O>0,0,1);", "el"])
+def test_trimmed_state_reaches_as_far(script):
+    rnd = random.Random(8)
+    bars = [{"time": float(t), "open": float(t + 1), "close": 60.0 if t % 17 == 3 else rnd.uniform(0, 40), "volume": float(rnd.randint(1, 30))} for t in range(90)]
+    kind, given = "hithink", None
+    if script == "el":
+        script, kind, given = 'Inputs: Length(5); Plot1(Average(Close, Length), "A");', "easylanguage", {"Length": 30}
+    m, got = Machine(script, kind, given), []
+    for b in bars:
+        got.append(m.step(b))
+        m = m.restored(m.snapshot())
+    assert got == evaluate(script, bars, kind, given) and any(r["A"] is not None for r in got)
+
+
 def test_front_ends_agree(spark):
     frame = arrays(spark, {"close": [float(x % 7) for x in range(30)], "open": [float(x % 5) for x in range(30)]})
     a = run(frame, "X: EMA(CLOSE,3)+AVERAGE(OPEN,4);").collect()

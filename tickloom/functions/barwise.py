@@ -140,14 +140,18 @@ def _since(none):
     return rule
 
 
-def _since_n(a, i, own):
-    n, found, seen = _n(a, 1, i), -1, 0
-    for k in range(i + 1):
-        if _t(a[0](i - k)):
-            found, seen = k, seen + 1
-            if seen >= n:
-                break
-    return float(found)
+class SinceN:
+    """Bars since the n-th last true one, or the first where there are fewer; keeps the bars of the last `most` trues."""
+
+    def __init__(self) -> None:
+        self.at, self.most = [], None
+
+    def __call__(self, a, i, own):
+        if _t(a[0](i)):
+            self.at.append(i)
+            if self.most is not None:
+                del self.at[: -self.most]
+        return float(i - self.at[-min(max(_n(a, 1, i), 1), len(self.at))]) if self.at else -1.0
 
 
 def _valuewhen(a, i, own):
@@ -261,7 +265,7 @@ RULES = {
     "barscount": lambda a, i, own: (own(i - 1) or 0.0) + (a[0](i) is not None),
     "barslast": _since(None),
     "barssince": _since(-1.0),
-    "barssincen": _since_n,
+    "barssincen": SinceN,
     "barslastcount": lambda a, i, own: (own(i - 1) or 0.0) + 1 if _t(a[0](i)) else 0.0,
     "valuewhen": _valuewhen,
     "totalbarscount": lambda a, i, own: i + 1.0,

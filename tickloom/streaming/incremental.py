@@ -1,7 +1,8 @@
 """Bar-by-bar evaluation of scripts, and Structured Streaming over it.
 
 The state of an instrument is, for every value of the script, as many of its last bars as any call looks back, so it
-stays as small as the script's longest length however long the stream runs. Fed one bar at a time the results are
+stays as small as the script's longest length however long the stream runs; where a length is itself a series, or the
+first bar is asked for, all bars are kept. Fed one bar at a time the results are
 those of the batch, but for islastbar and totalbarscount, which know only the bars so far.
 """
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tickloom.functions.barwise import RULES
+from tickloom.functions.barwise import RULES, SinceN
 from tickloom.functions.registry import REGISTRY
 from tickloom.plans.compiler import INPUTS
 from tickloom.plans.parse import parse
@@ -26,7 +27,7 @@ from tickloom.plans.tree import Assign, Back, Binary, Call, Declare, Evaluate, F
 class Kept:
     """The last values of a series, read by bar number."""
 
-    def __init__(self, size: int) -> None:
+    def __init__(self, size: int | None) -> None:
         self.values, self.end = deque(maxlen=size), 0
 
     def add(self, v) -> None:
@@ -38,35 +39,78 @@ class Kept:
         return self.values[k] if 0 <= k < len(self.values) else None
 
 
-def lookback(script: Script, least: int = 2) -> int:
-    """Bars that the script's constant lengths and offsets can reach, added up along nested calls."""
+#: Functions that look no further back than one bar, and where the others have their lengths.
+NEAR = set("cross longcross barscount barslast barssince barslastcount barsstatus valuewhen totalbarscount islastbar ema expma ta.ema xma ama dma rsi ta.rsi".split())
+LENGTHS = {n: (1,) for n in RULES if n not in NEAR} | {"covar": (2,)} | dict.fromkeys(("last", "findhigh", "findlow", "findhighbars", "findlowbars"), (1, 2))
 
-    def deep(node) -> int:
+
+def lookback(script: Script, least: int = 2, parameters: dict | None = None) -> int | None:
+    """Bars that the script's lengths and offsets can reach, added up along nested calls; None: all, as a length is a series."""
+    given, unbounded = parameters or {}, False
+
+    def constant(node, env: dict):
+        """The number that a node is at every bar, or None."""
+        match node:
+            case Num(v):
+                return v
+            case Flag(b):
+                return float(b)
+            case Name(n):
+                return env.get(n)
+            case Unary(op, v):
+                x = constant(v, env)
+                return None if x is None else -x if op == "-" else POINTWISE["not"](x)
+            case Binary(op, x, y):
+                got = [constant(x, env), constant(y, env)]
+                return None if None in got else POINTWISE[op](*got)
+            case Call("input.int", args) if args:
+                x = constant(args[0], env)
+                return None if x is None else float(int(x))
+            case Call(n, args) if n in POINTWISE and args:
+                got = [constant(x, env) for x in args]
+                return None if None in got else POINTWISE[n](*got)
+        return None
+
+    def deep(node, env: dict) -> int:
+        nonlocal unbounded
         match node:
             case Call(n, args):
-                own = sum(int(abs(a.value)) for a in args if isinstance(a, Num)) * (2 if n == "tma" else 1)
-                return own + max([0, *map(deep, args)])
+                got = [constant(x, env) for x in args]
+                lengths = [got[k] for k in LENGTHS.get(n, ()) if k < len(got)]
+                # A start of 0 is the first bar.
+                unbounded = unbounded or None in lengths or n == "last" and int(lengths[0]) == 0
+                own = sum(int(abs(x)) for x in got if x is not None) * (2 if n == "tma" else 1) if n in RULES else 0
+                return own + max([0, *(deep(x, env) for x in args)])
             case Back(base, k):
-                return (int(k.value) if isinstance(k, Num) else 0) + max(deep(base), deep(k))
+                n = constant(k, env)
+                unbounded = unbounded or n is None
+                return int(n or 0) + max(deep(base, env), deep(k, env))
             case Unary(_, v):
-                return deep(v)
-            case Binary(_, a, b):
-                return max(deep(a), deep(b))
+                return deep(v, env)
+            case Binary(_, x, y):
+                return max(deep(x, env), deep(y, env))
         return 0
 
-    def statements(body) -> int:
-        total = 0
+    def statements(body, env: dict) -> int:
+        most = 0
         for s in body:
             match s:
-                case Assign(_, v) | Evaluate(v) | Declare(_, v):
-                    total = max(total, deep(v))
-                    if isinstance(v, Num):  # a variable that may serve as a length
-                        total += int(abs(v.value))
+                case Assign(name, v) | Declare(name, v):
+                    most = max(most, deep(v, env))
+                    env[name] = constant(v, env)
+                    if isinstance(s, Declare) and s.parameter and name in given:
+                        env[name] = given[name] if isinstance(given[name], (int, float)) else None
+                case Evaluate(v):
+                    most = max(most, deep(v, env))
                 case If(t, a, b):
-                    total = max(total, deep(t), statements(a), statements(b))
-        return total
+                    x, y = dict(env), dict(env)
+                    most = max(most, deep(t, env), statements(a, x), statements(b, y))
+                    for n in {**x, **y}:
+                        env[n] = x.get(n) if x.get(n) == y.get(n) else None
+        return most
 
-    return least + statements(script.body)
+    most = statements(script.body, {})
+    return None if unbounded else least + most
 
 
 class Machine:
@@ -74,7 +118,9 @@ class Machine:
 
     def __init__(self, script: Script | str, language: str = "hithink", parameters: dict | None = None, history: int | None = None) -> None:
         self.script = parse(script, language) if isinstance(script, str) else script
-        self.parameters, self.size = parameters or {}, history or lookback(self.script) + 1
+        self.parameters = parameters or {}
+        reach = history or lookback(self.script, parameters=self.parameters)
+        self.size = history or (None if reach is None else reach + 1)
         self.series: dict[object, Kept] = {}
         self.rules: dict[object, object] = {}
         self.bar = 0
@@ -195,6 +241,8 @@ class Machine:
         if isinstance(rule, type):
             if site not in self.rules:
                 self.rules[site] = rule()
+                if rule is SinceN:
+                    self.rules[site].most = self.size
             rule = self.rules[site]
         own = self.series.setdefault((site, "own"), Kept(self.size))
         own.add(rule(reads, self.bar, own))
