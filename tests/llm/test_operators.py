@@ -423,6 +423,17 @@ def test_ngram_join(spark, seed):
     assert jaccard.near_duplicates(df.where("false")).count() == 0 and jaccard.one_of_each(df.where("false")).count() == 0
 
 
+def test_ngram_join_of_near_copies_without_ids(spark):
+    rnd = random.Random(7)
+    words = prose(rnd, 104).split()
+    while len(set(zip(*[words[k:] for k in range(5)], strict=False))) < 100:
+        words = prose(rnd, 104).split()
+    # The one without an id is near both others, which are not near each other.
+    rows = [(1, " ".join(words[:84]), "a"), (None, " ".join(words[10:94]), "a"), (2, " ".join(words[20:104]), "a"), (3, prose(rnd, 50), "a")]
+    df = frame(spark, rows)
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.near_duplicates(df).collect()) == brute_components(rows)
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1200)]

@@ -351,7 +351,9 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, kind: str, width: int) -> DataF
 
     found = rows.select("id", "text", bit(F.col("id")).alias("bit")).mapInArrow(run, f"id {kind}, class bigint, tokens binary")
     # Repeated rows of an id give a class once.
-    return found.join(bounded(wanted), ["id", "class"], "left_semi").select("class", "tokens").dropDuplicates(["class"])
+    named = bounded(wanted.select(F.col("id").alias("_id"), F.col("class").alias("_class")))
+    # A class whose rows all have no id is asked for by a null id.
+    return found.join(named, F.col("id").eqNullSafe(F.col("_id")) & (F.col("class") == F.col("_class")), "left_semi").select("class", "tokens").dropDuplicates(["class"])
 
 
 def _possible(pairs: DataFrame, lows: DataFrame, bands: Bands) -> DataFrame:
