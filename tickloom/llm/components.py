@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from tickloom.llm.scratch import settle
 
 
+#: Links that one task may hold.
+ONE_TASK = 1_000_000
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, smallest node of their component) of the links a-b, without the smallest ones themselves."""
     nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -34,8 +38,9 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b: long) but the roots, the smallest node of each component.
 
-    Links are contracted within partitions, then large-star and small-star rounds run on the cluster until nothing
-    changes; no task or driver holds a whole component.
+    Links are contracted within partitions. What is left goes through one task if it has been counted to be no more than
+    ONE_TASK links (16 bytes each); beyond that, large-star and small-star rounds run on the cluster until nothing changes,
+    and no task or driver holds a whole component. Both give the same.
     """
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,13 +58,17 @@ def components(links: DataFrame) -> DataFrame:
     stars = settle(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(contract, "a bigint, b bigint"), "links")
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(stars)
+    if before[0] <= ONE_TASK:
+        whole = settle(stars.coalesce(1).mapInArrow(contract, "a bigint, b bigint"), "stars")
+        return whole.select(F.col("a").alias("node"), F.col("b").alias("root"))
     tasks = before[0] // 50_000 + 1
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        # Written first, so that the joins with it can be split where a star's root has most of the rows.
+        low = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "low", tasks)
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a > b").distinct()
         large = settle(large, "large", tasks)
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = settle(large.groupBy("a").agg(F.min("b").alias("low")), "low", tasks)
         small = large.join(low, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         stars = settle(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "stars", tasks)
         after = mark(stars)

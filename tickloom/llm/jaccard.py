@@ -5,12 +5,15 @@ m segments; as a linked pair differs in at most H shingles, at least m - H segme
 therefore indexes its H + 1 cheapest non-empty segments, by a fixed order in which segments that many sets share
 come last: two linked sets that have an equal non-empty segment at all have one among these. Where so many segments
 are empty that this can't be relied on, a set indexes all its segments and their one-deletion neighbourhoods, and,
-in bands where even these can't settle it, single shingles. Candidates that could be linked by a quarter of their shingles are verified on the whole sets,
-in blocks of near ones.
-
-Equal sets are one class from the start. A segment that few classes share gives all its pairs; one that many share
-gives links to its first class, and after the components of these are known only what is still apart is compared,
-block against block. So large groups of near copies cost what their members do, and no link is lost.
+in bands where even these can't settle it, single shingles.
+
+Equal sets are one class from the start. Of the classes that share a key, the first is held against the others; after
+the components of these links are known, the classes of a key that few share are held against each other where they
+are still apart. What more share, a crowd, gets deeper keys. Its core is the set of its first class and all shingles that
+more than a few members have. Two members either have so many shingles in the core that these alone could link them,
+and then are held against each other, or, if they are linked, share a shingle outside it: so the members are indexed
+again by the crowd and such a shingle, which only a few share. Candidates pass a parity sketch, which loses no link,
+and are verified on whole sets. So rows grow as the members of groups do, not as their pairs, and no link is lost.
 """
 
 from __future__ import annotations
@@ -24,24 +27,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.bytetext import Powers, give_back, mix, pieces, raw, shingles, words
-from tickloom.llm.components import components, forest
+from tickloom.llm.components import components
 from tickloom.llm.joins import bounded, only, without
 from tickloom.llm.scratch import let_go, settle
 
 #: Segments for each difference that a pair may have.
 SEGMENTS = 2.5
-#: Segments shared by so many classes give all pairs at once.
+#: Classes of a key that are held against each other; what more share gets deeper keys.
 FEW = 32
+#: What rows of candidates are.
+STAR, CROWD, GROUP = 0, 1, 2
+#: Buckets of keys to a shuffle partition, which are looked at one after another.
+FINER = 4
 #: Counters that estimate how many sets share a segment; they only order segments.
 SKETCH = 1 << 22
 #: Entries that a task gathers before it hands them on.
 GATHER = 1 << 20
 #: Bytes of text that are shingled at once.
 PIECE = 1 << 20
-#: Sets and shingles in a block of classes that are compared at once.
-BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 15
-#: Blocks to a side of a tile: what a task gets at once, to compare the pairs of blocks in it.
-TILE = 8
 #: Bits of the map of wanted ids (2 MB whatever the input); beyond what it can tell apart, more rows are read.
 WANTED = 1 << 24
 
@@ -139,13 +142,10 @@ def _shingled(part: pa.RecordBatch, width: int, powers: Powers) -> tuple[np.ndar
 
 
 def _pass_one(rows: DataFrame, kind: str, width: int, bands: Bands) -> DataFrame:
-    """Rows (id, text_hash, class, n, hard, low) of every document, and the task's counters in pieces (part, counts).
-
-    low: the shingles in the lowest quarter of the universe, in 16 bits each.
-    """
+    """Rows (id, text_hash, class, n, hard, sketch) of every document, and the task's counters in pieces (part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "text_hash", "class", "n", "hard", "low", "part", "counts"]
+        names = ["id", "text_hash", "class", "n", "hard", "sketch", "part", "counts"]
         powers, count, id_type = Powers(), np.zeros(SKETCH, np.uint8), None
         for batch in batches:
             id_type = batch.schema.field("id").type
@@ -163,16 +163,14 @@ def _pass_one(rows: DataFrame, kind: str, width: int, bands: Bands) -> DataFrame
                     for j in np.flatnonzero((m - h - empty < 1) & (2 * empty > 2 * m - h - 1)):
                         hard[some[which[j]]].append(int(band[j]))
                 ids = pa.array(set_ids(tokens, at), mask=size == 0)
-                low = [t[: np.searchsorted(t, np.uint64(1 << 62))] for t in np.split(tokens, at[1:-1])]
-                low = [np.sort((t >> np.uint64(20)).astype(np.uint16)).tobytes() for t in low]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), ids, pa.array(size), pa.array(hard, pa.list_(pa.int32())), pa.array(low, pa.binary()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), ids, pa.array(size), pa.array(hard, pa.list_(pa.int32())), pa.array(sketches(tokens, at), pa.binary()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=names)
         give_back()
         if id_type is not None:
             k = 16
             blobs = [x.tobytes() for x in np.split(count, k)]
             yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
-    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, class bigint, n bigint, hard array<int>, low binary, part int, counts binary")
+    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, class bigint, n bigint, hard array<int>, sketch binary, part int, counts binary")
 
 
 def _summed(counters: DataFrame) -> np.ndarray:
@@ -194,26 +192,45 @@ def _summed(counters: DataFrame) -> np.ndarray:
     return out
 
 
+class _Index:
+    """Index entries that a task gathers, and hands on by bucket: blobs of (48-bit keys, numbers into the classes of the blob, classes, sizes)."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.who, self.ids, self.sizes, self.held, self.base = [], [], [], [], 0, 0
+
+    def add(self, who: np.ndarray, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """who: for every key the place in ids of the class that it is of."""
+        self.keys.append(keys >> np.uint64(16))
+        self.who.append(who + self.base)
+        self.ids.append(ids)
+        self.sizes.append(sizes)
+        self.base += len(ids)
+        self.held += len(keys)
+
+    def handed(self) -> list[pa.Array]:
+        key, w, c, n = (np.concatenate(x) for x in (self.keys, self.who, self.ids, self.sizes))
+        self.clear()
+        order = np.argsort(key)
+        key, w = key[order], w[order]
+        cut = np.searchsorted(key, np.array([(b << 48) // self.buckets for b in range(1, self.buckets)], np.uint64))
+        blobs = []
+        for k, v in zip(np.split(key, cut), np.split(w, cut), strict=True):
+            own, back = np.unique(v, return_inverse=True)
+            bytes6 = np.ascontiguousarray(k.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            back = back.astype(np.uint16 if len(own) <= 65536 else np.uint32)
+            blobs.append(b"".join([np.array([len(k), len(own)], np.int64).tobytes(), c[own].tobytes(), n[own].astype(np.int32).tobytes(), bytes6, back.tobytes()]))
+        return [pa.array(range(self.buckets), pa.int32()), pa.array(blobs, pa.binary())]
+
+
 def _pass_two(rows: DataFrame, width: int, bands: Bands, shared, hard: frozenset, buckets: int) -> DataFrame:
-    """Index entries by bucket: blobs of (48-bit keys, numbers into the classes of the blob, classes, sizes)."""
+    """Index entries (bucket, entries) of all sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        keys, who, ids, sizes, held, base = [], [], [], [], 0, 0
-
-        def handed() -> pa.RecordBatch:
-            key, w, c, n = (np.concatenate(x) for x in (keys, who, ids, sizes))
-            order = np.argsort(key)
-            key, w = key[order], w[order]
-            cut = np.searchsorted(key, np.array([(b << 48) // buckets for b in range(1, buckets)], np.uint64))
-            blobs = []
-            for k, v in zip(np.split(key, cut), np.split(w, cut), strict=True):
-                own, back = np.unique(v, return_inverse=True)
-                bytes6 = np.ascontiguousarray(k.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                back = back.astype(np.uint16 if len(own) <= 65536 else np.uint32)
-                blobs.append(b"".join([np.array([len(k), len(own)], np.int64).tobytes(), c[own].tobytes(), n[own].astype(np.int32).tobytes(), bytes6, back.tobytes()]))
-            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
-
+        powers, index = Powers(), _Index(buckets)
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 tokens, at = _shingled(part, width, powers)
@@ -227,19 +244,12 @@ def _pass_two(rows: DataFrame, width: int, bands: Bands, shared, hard: frozenset
                     once.sort()
                     pick = np.concatenate([np.arange(at[i], at[i + 1]) for i in once])
                     at, tokens, name = np.concatenate([[0], np.cumsum(np.diff(at)[once])]), tokens[pick], name[once]
-                s, k = chosen(tokens, at, bands, shared.value, hard)
-                keys.append(k >> np.uint64(16))
-                who.append(s + base)
-                ids.append(name)
-                sizes.append(np.diff(at))
-                base += len(name)
-                held += len(k)
-                if held >= GATHER:
-                    yield handed()
-                    keys, who, ids, sizes, held, base = [], [], [], [], 0, 0
-        if held:
-            yield handed()
-        del keys, who, ids, sizes, powers
+                index.add(*chosen(tokens, at, bands, shared.value, hard), name, np.diff(at))
+                if index.held >= GATHER:
+                    yield pa.RecordBatch.from_arrays(index.handed(), names=["bucket", "entries"])
+        if index.held:
+            yield pa.RecordBatch.from_arrays(index.handed(), names=["bucket", "entries"])
+        del index, powers
         give_back()
 
     return rows.mapInArrow(run, "bucket int, entries binary")
@@ -257,86 +267,96 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return wide.view("<u8")[:, 0], c[back], s[back]
 
 
-def _maximal(c: np.ndarray, first: np.ndarray, size: np.ndarray, runs: np.ndarray) -> list[int]:
-    """Of runs of classes those that no other of them holds: whoever shares a dropped one shares the one that holds it."""
-    kept, of = [], {}
-    for r in sorted(runs.tolist(), key=lambda r: -size[r]):
-        own = c[first[r] : first[r] + size[r]].tolist()
-        rarest = min((of.get(x, ()) for x in own), key=len)
-        if not any(k.issuperset(own) for k in rarest):
-            held = set(own)
-            kept.append(r)
-            for x in own:
-                of.setdefault(x, []).append(held)
-    return kept
+def _grouped(got: list) -> tuple[np.ndarray, ...]:
+    """(key, class, size, first entry of each group, entries of each group) of one bucket's keys that several classes have."""
+    key, c, n = (np.concatenate([x[k] for x in got]) for k in range(3))
+    order = np.argsort(key)
+    again = key[order]
+    alone = np.ones(len(key), bool)  # keys of one entry, which most are, go at once
+    alone[1:] &= again[1:] != again[:-1]
+    alone[:-1] &= again[1:] != again[:-1]
+    order = order[~alone]
+    del again, alone
+    key, c, n = key[order], c[order], n[order]
+    order = np.lexsort((c, key))
+    key, c, n = key[order], c[order], n[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1])
+    key, c, n = key[fresh], c[fresh], n[fresh]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key, c, n, first, np.diff(np.append(first, len(key)))
+
+
+def _by_bucket(entries: DataFrame, partitions: int, told, schema: str) -> DataFrame:
+    """told(*_grouped(...)) of every bucket; a task holds one bucket at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, now = [], None
+        for batch in batches:
+            for bucket, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != now:
+                    if got:
+                        yield from told(*_grouped(got))
+                    got, now = [], bucket
+                got.append(_unpacked(x.as_buffer()))
+        if got:
+            yield from told(*_grouped(got))
+        del got
+        give_back()
+
+    return entries.select("bucket", "entries").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def _candidates(entries: DataFrame, bands: Bands, partitions: int) -> DataFrame:
-    """Rows (key, a, b): candidate pairs (key null), and the classes of segments that more than FEW share (b null)."""
+    """Rows (kind, a, b) of the classes that share keys.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [_unpacked(x.as_buffer()) for batch in batches for x in batch.column(1)]
-        if not got:
-            return
-        key = np.concatenate([x[0] for x in got])
-        c = np.concatenate([x[1] for x in got])
-        n = np.concatenate([x[2].astype(np.int32) for x in got])
-        del got
-        order = np.argsort(key)
-        again = key[order]
-        alone = np.ones(len(key), bool)  # keys of one entry, which most are, go at once
-        alone[1:] &= again[1:] != again[:-1]
-        alone[:-1] &= again[1:] != again[:-1]
-        order = order[~alone]
-        del again, alone
-        key, c, n = key[order], c[order], n[order]
-        order = np.lexsort((c, key))
-        key, c, n = key[order], c[order], n[order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1])
-        key, c, n = key[fresh], c[fresh], n[fresh]
-        if not len(key):
-            return
-        head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        first = np.flatnonzero(head)
-        run_size = np.diff(np.append(first, len(key)))
-        size = np.repeat(run_size, run_size)
-        hot = size > FEW
-        start = np.repeat(first, run_size)
-        left, right = [start[hot & ~head]], [np.flatnonzero(hot & ~head)]
-        few = np.flatnonzero((size > 1) & ~hot)
-        for d in range(1, FEW):
-            j = few[few + d < len(key)]
-            j = j[key[j + d] == key[j]]
-            left.append(j)
-            right.append(j + d)
-        i, j = np.concatenate(left), np.concatenate(right)
-        ok = bands.den * np.minimum(n[i], n[j]) >= bands.num * np.maximum(n[i], n[j])
-        pair = np.unique(np.stack([c[i[ok]], c[j[ok]]], 1), axis=0)
-        if len(pair):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pair), pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["key", "a", "b"])
-        if hot.any():
-            # Segments with the same classes are one: they are named after their classes.
+    STAR: the first class of a group and another; CROWD: the same, of a group of more than FEW; GROUP: the name of a
+    group of 3 to FEW, and a class of it. So rows grow as the entries do, whatever the sizes of groups.
+    """
+
+    def told(key, c, n, first, run_size) -> Iterator[pa.RecordBatch]:
+        size, start = np.repeat(run_size, run_size), np.repeat(first, run_size)
+        ok = bands.den * np.minimum(n, n[start]) >= bands.num * np.maximum(n, n[start])
+        head = start == np.arange(len(start))
+        for kind, who in ((STAR, ok & (size <= FEW)), (CROWD, size > FEW)):
+            at = np.flatnonzero(who & ~head)
+            if len(at):
+                pair = np.unique(np.stack([c[start[at]], c[at]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), kind, np.int32)), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["kind", "a", "b"])
+        # Groups with the same classes are one: they are named after their classes.
+        some = np.flatnonzero((run_size > 2) & (run_size <= FEW))
+        if len(some):
             name = np.add.reduceat(mix(c.view(np.uint64)), first)
-            _, once = np.unique(name, return_index=True)
-            only_once = np.zeros(len(first), bool)
-            only_once[_maximal(c, first, run_size, once[run_size[once] > FEW])] = True
-            hot &= np.repeat(only_once, run_size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, run_size)[hot].view(np.int64)), pa.array(c[hot]), pa.nulls(int(hot.sum()), pa.int64())], names=["key", "a", "b"])
-        del key, c, n, order, fresh, head, first, run_size, size, start, left, right, few, i, j, ok, pair
-        give_back()
+            _, once = np.unique(name[some], return_index=True)
+            keep = np.zeros(len(first), bool)
+            keep[some[once]] = True
+            keep = np.repeat(keep, run_size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), GROUP, np.int32)), pa.array(np.repeat(name, run_size)[keep].view(np.int64)), pa.array(c[keep])], names=["kind", "a", "b"])
+
+    return _by_bucket(entries, partitions, told, "kind int, a bigint, b bigint")
+
+
+def _common(entries: DataFrame, partitions: int) -> DataFrame:
+    """Keys that more than FEW classes have."""
+
+    def told(key, c, n, first, run_size) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(key[first[run_size > FEW]].astype(np.int64))], names=["key"])
 
-    return entries.repartition(partitions, "bucket").mapInArrow(run, "key bigint, a bigint, b bigint")
+    return _by_bucket(entries, partitions, told, "key bigint")
+
+
+def _bitmap(v: DataFrame) -> np.ndarray:
+    """A map of WANTED bits, set where a column v (1 to WANTED) has the number; as large whatever the input."""
+    out = np.zeros(WANTED // 8, np.uint8)
+    for r in v.groupBy(F.bitmap_bucket_number("v").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect():
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, kind: str, width: int) -> DataFrame:
     """(class, tokens) of wanted (id, class): whole sets, shingled again from the texts of the wanted ids alone."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED)) + 1
-    maps = wanted.select(bit(F.col("id")).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
-    bits = np.zeros(WANTED // 8, np.uint8)
-    for r in maps:
-        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    bits = _bitmap(wanted.select(bit(F.col("id")).alias("v")))
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,99 +376,122 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, kind: str, width: int) -> DataF
     return found.join(named, F.col("id").eqNullSafe(F.col("_id")) & (F.col("class") == F.col("_class")), "left_semi").select("class", "tokens").dropDuplicates(["class"])
 
 
-def _possible(pairs: DataFrame, lows: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs that differ in the lowest quarter of the universe by no more than linked ones may in all of it.
+def sketches(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Of each set the parities of its tokens in 2 to 4 bits a token: no more bits of two differ than tokens do."""
+    out = []
+    for i in range(len(at) - 1):
+        bits = max(64, 1 << int(2 * (at[i + 1] - at[i]) - 1).bit_length()) if at[i + 1] > at[i] else 64
+        odd = np.bincount((tokens[at[i] : at[i + 1]] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
 
-    Two hashes that agree in 16 bits can only hide a difference, so no linked pair is lost.
-    """
+
+def _possible(pairs: DataFrame, kinds: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs whose sketches differ in no more bits than linked sets do in tokens; no linked pair is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb = (np.asarray(batch.column(k)) for k in range(4))
-            ok = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint16), np.frombuffer(y.as_buffer(), np.uint16)
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                ok[i] = len(both) - 2 * same <= bands.most_differences(int(na[i]), int(nb[i]))
+            x, y = (batch.column(k).to_pylist() for k in (4, 5))
+            shape = np.array([len(v) for v in x], np.int64) << 32 | np.array([len(v) for v in y], np.int64)
+            ok = bands.den * np.minimum(na, nb) >= bands.num * np.maximum(na, nb)
+            for s in np.unique(shape[ok]):
+                at = np.flatnonzero(ok & (shape == s))
+                u, v = (np.frombuffer(b"".join(side[i] for i in at), np.uint64).reshape(len(at), -1) for side in (x, y))
+                while u.shape[1] > v.shape[1]:
+                    u = u[:, : u.shape[1] // 2] ^ u[:, u.shape[1] // 2 :]
+                while v.shape[1] > u.shape[1]:
+                    v = v[:, : v.shape[1] // 2] ^ v[:, v.shape[1] // 2 :]
+                ok[at] = np.bitwise_count(u ^ v).sum(1, dtype=np.int64) <= bands.most_differences(na[at], nb[at])
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    side = lambda k: lows.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("low").alias(f"l{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "la", "lb").mapInArrow(run, "a bigint, b bigint")
+    side = lambda k: kinds.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _blocks(members: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
-    """Classes of still open segments in blocks (block, classes, roots, tokens...), near ones together."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    side = lambda k: sets.select(F.col("class").alias(k), F.col("tokens").alias(f"t{k}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, nth = [], 0, 0
 
-        def block() -> pa.RecordBatch:
-            part = held[0][3]
-            cols = [[(part << 32) + nth], [[x[0] for x in held]], [[x[1] for x in held]], [[len(x[2]) // 8 for x in held]], [b"".join(x[2] for x in held)]]
-            longs = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), longs, longs, longs, pa.binary()], strict=True)], names=["block", "classes", "roots", "sizes", "tokens"])
+def _linked(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if held and (len(held) >= BLOCK_SETS or total + len(row[2]) // 8 > BLOCK_SHINGLES):
-                    yield block()
-                    held, total, nth = [], 0, nth + 1
-                held.append(row)
-                total += len(row[2]) // 8
-        if held:
-            yield block()
-
-    per = members.groupBy("class").agg(F.min("key").alias("label"), F.min("root").alias("root")).join(sets, "class")
-    per = per.repartitionByRange(partitions, "label", "class").sortWithinPartitions("label", "class")
-    return per.select("class", "root", "tokens", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, "block bigint, classes array<bigint>, roots array<bigint>, sizes array<bigint>, tokens binary")
-
-
-def _across(pairs: DataFrame, blocks: DataFrame, bands: Bands, partitions: int) -> DataFrame:
-    """Links between different components among the classes of pairs (x, y) of blocks, as few as join them."""
-
-    def compared(x: tuple, y: tuple):
-        (ra, na, ta), (rb, nb, tb) = x, y
-        if len(np.unique(np.concatenate([ra, rb]))) == 1:
-            return None
-        both, back = np.unique(np.concatenate([ta, tb]), return_inverse=True)
-        left, right = np.zeros((len(na), len(both)), np.float32), np.zeros((len(nb), len(both)), np.float32)
-        left[np.repeat(np.arange(len(na)), na), back[: len(ta)]] = 1
-        right[np.repeat(np.arange(len(nb)), nb), back[len(ta) :]] = 1
-        # Shingles of one side alone can't be shared.
-        use = left.any(0) & right.any(0)
-        inter = np.rint(left[:, use] @ right[:, use].T).astype(np.int64)
-        i, j = np.nonzero(bands.linked(inter, na[:, None], nb[None, :]) & (ra[:, None] != rb[None, :]))
-        return forest(ra[i], rb[j]) if len(i) else None
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.concatenate([x, y])
+                both.sort()
+                ok[i] = bands.linked(int((both[1:] == both[:-1]).sum()), len(x), len(y))
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    return _with_sets(pairs, sets).mapInArrow(run, "a bigint, b bigint")
+
+
+def _deeper(crowds: DataFrame, sets: DataFrame, buckets: int, common=None) -> DataFrame:
+    """For members b of the crowd of a: entries of the key (a, shingle of b outside the crowd's core), as rows (bucket, entries); and rows (a, b, na, nb, both).
+
+    The core is the set of a, and with `common`, a broadcast bitmap of keys, all whose keys are in it: what the bitmap
+    can't tell apart makes a core larger, and any core is right. both: shingles of b in the core.
+    """
+    names = ["bucket", "entries", "a", "b", "na", "nb", "both"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held, todo = None, {}, []
+        index, bits = _Index(buckets), common.value if common else None
 
-        def done() -> Iterator[pa.RecordBatch]:
-            for p in todo:
-                got = compared(held[p["x"]], held[p["y"]])
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+        def entries() -> pa.RecordBatch:
+            cols = index.handed()
+            return pa.RecordBatch.from_arrays([*cols, *[pa.nulls(len(cols[0]), pa.int64())] * 5], names=names)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                at = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-                if at != tile:
-                    yield from done()
-                    tile, held, todo = at, {}, batch.column(2)[i].as_py()
-                tokens = np.frombuffer(batch.column(6)[i].as_buffer(), np.uint64).copy()
-                held[batch.column(3)[i].as_py()] = (np.array(batch.column(4)[i].as_py(), np.int64), np.array(batch.column(5)[i].as_py(), np.int64), tokens)
-        yield from done()
-
-    # Blocks of one range of labels are numbered one after another, so pairs fall into few tiles.
-    of = lambda c: F.floor(F.col(c) / TILE)
-    tiles = pairs.select(of("x").alias("tx"), of("y").alias("ty"), F.struct("x", "y").alias("p")).groupBy("tx", "ty").agg(F.collect_list("p").alias("todo"))
-    tiles = settle(tiles, "tiles", 1 + partitions // 8)
-    parts = tiles.select("*", F.explode(F.array_distinct(F.concat(F.col("todo.x"), F.col("todo.y")))).alias("block"))
-    rows = parts.join(blocks, "block").select("tx", "ty", "todo", "block", "roots", "sizes", "tokens")
-    n = max(1, min(partitions, tiles.count()))
-    return rows.repartition(n, "tx", "ty").coalesce(n).sortWithinPartitions("tx", "ty").mapInArrow(run, "a bigint, b bigint")
+            a, b = (np.asarray(batch.column(k)) for k in range(2))
+            facts = np.zeros((3, len(a)), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                key = mix(y[~np.isin(y, x, assume_unique=True)] + mix(a[i : i + 1].view(np.uint64)))
+                if bits is not None:
+                    v = ((key >> np.uint64(16)) & np.uint64(WANTED - 1)).astype(np.int64)
+                    key = key[(bits[v >> 3] >> (v & 7).astype(np.uint8)) & 1 == 0]
+                facts[:, i] = len(x), len(y), len(y) - len(key)
+                index.add(np.zeros(len(key), np.int64), key, b[i : i + 1], np.array([len(y)]))
+                if index.held >= GATHER:
+                    yield entries()
+            none = [pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, batch.column(0), batch.column(1), *map(pa.array, facts)], names=names)
+        if index.held:
+            yield entries()
+        del index
+        give_back()
+
+    return _with_sets(crowds, sets).mapInArrow(run, "bucket int, entries binary, a bigint, b bigint, na bigint, nb bigint, both bigint")
+
+
+def _rooted(df: DataFrame, roots: DataFrame, *cols: str) -> DataFrame:
+    """df with the root of each of its columns `cols`, as r and the column's name."""
+    for c in cols:
+        df = df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    return df
+
+
+def _across(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b) of different components in groups (a: name, b: class) of FEW classes at most."""
+    member = F.struct(F.col("rb").alias("r"), F.col("b").alias("c"))
+    per = _rooted(groups, roots, "b").groupBy("a").agg(F.collect_set(member).alias("m"), F.min("rb").alias("low"), F.max("rb").alias("high")).where("low <> high")
+    pairs = per.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.expr("filter(m, y -> y.r > x.r)")).alias("y"))
+    return pairs.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
+
+
+def _short(facts: DataFrame, roots: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs of a crowd whose shingles in its core may be enough to link them; one of each is apart from its first class."""
+    num, den = bands.num, bands.den
+    reach = F.floor(F.col("both") * (num + den) / num).cast("long") - F.col("nb")
+    member = _rooted(facts, roots, "a", "b").withColumn("reach", reach).withColumn("least", F.ceil(F.col("nb") * num / den).cast("long"))
+    apart = member.where("ra <> rb").withColumn("most", F.least("reach", F.floor(F.col("nb") * den / num).cast("long"))).where("most >= least")
+    asks = apart.select("a", F.col("b").alias("x"), F.col("rb").alias("rx"), F.col("nb").alias("nx"), F.explode(F.sequence("least", "most")).alias("nb"))
+    met = asks.join(member.select("a", "b", "rb", "nb", "reach"), ["a", "nb"]).where("nx <= reach and rx <> rb")
+    return met.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -457,7 +500,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     A-Z is lower-cased, words are what stands between blanks; a text with fewer than `width` words is one shingle,
     one without words, or null, has none and is linked with nothing. Texts link when their sets' Jaccard similarity is
     num / den or more; all links are found. Rows keep their multiplicity: repeated rows are in one component. A row
-    with a null id belongs to the component of its text; other columns are not read.
+    with a null id belongs to the component of its text; other columns are not read. An empty table gives an empty
+    result, and a text's length bounds nothing but the memory of the task that reads it.
     """
     from math import gcd
 
@@ -466,56 +510,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     first = settle(_pass_one(rows.withColumn("text_hash", F.xxhash64("text")), kind, width, bands), "sets")
-    slim = first.where("part is null").select("id", "text_hash", "class", "n", "hard")
-    hard = frozenset(r["b"] for r in slim.select(F.explode("hard").alias("b")).distinct().collect())
+    slim = first.where("part is null").select("id", "text_hash", "class", "n")
+    hard = frozenset(r["b"] for r in first.select(F.explode("hard").alias("b")).distinct().collect())
     shared = spark.sparkContext.broadcast(_summed(first.where("part is not null").select("part", "counts")))
-    entries = _pass_two(rows, width, bands, shared, hard, partitions)
-    found = settle(_candidates(entries, bands, partitions), "candidates")
+    kinds = settle(first.where("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    found = settle(_candidates(_pass_two(rows, width, bands, shared, hard, FINER * partitions), bands, partitions), "candidates")
     let_go(spark)
     # As many tasks as these rows fill, whatever the number of shuffle partitions.
-    tasks = min(partitions, found.count() // 20_000 + 1)
-    pairs = found.where("key is null").select("a", "b").distinct()
-    hot = found.where("key is not null").select("key", F.col("a").alias("class")).distinct()
-
-    per_class = settle(slim.where("class is not null").groupBy("class").agg(F.min("id").alias("id")), "classes")
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    paired = bounded(settle(ends(pairs), "paired", tasks))
-    lows = first.where("class is not null").select("class", "n", "low").join(paired, "class", "left_semi").dropDuplicates(["class"])
-    pairs = settle(_possible(pairs, lows, bands), "possible", tasks)
-    let_go(spark)
-    asked = settle(ends(pairs).union(hot.select("class")).distinct(), "asked", tasks)
-    wanted = settle(per_class.join(asked, "class", "left_semi").select("id", "class"), "wanted", tasks)
-    sets = settle(_sets_of(rows, wanted, kind, width), "tokens", min(partitions, wanted.count() // 1_000 + 1))
+    tasks = min(partitions, found.count() // 50_000 + 1)
+    of = lambda df, *which: df.where(F.col("kind").isin(*which)).select("a", "b").distinct()
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("class"))
+
+    def fetched(classes: DataFrame) -> DataFrame:
+        asked = settle(kinds.join(classes.distinct(), "class", "left_semi").select("id", "class"), "wanted", tasks)
+        return settle(_sets_of(rows, asked, kind, width), "tokens", min(partitions, asked.count() // 1_000 + 1))
+
+    # The first class of each group against the others.
+    near = settle(_possible(of(found, STAR, CROWD), kinds, bands), "near", tasks)
+    crowds = settle(of(found, CROWD), "crowds", tasks)
+    sets = fetched(ends(near).unionByName(ends(crowds)))
     let_go(spark)
-    # Classes that possible pairs connect are near each other in the blocks, so that each set travels once or twice.
-    near = components(pairs)
-    alone = ends(pairs).join(near.withColumnRenamed("node", "class"), "class", "left").select(F.coalesce("root", "class").alias("key"), "class", F.col("class").alias("root"))
-    blocks = settle(_blocks(alone, sets, tasks), "blocks", tasks)
-    where = settle(blocks.select("block", F.explode("classes").alias("class")), "where", tasks)
-    spot = lambda k, n: where.select(F.col("class").alias(k), F.col("block").alias(n))
-    met = pairs.join(spot("a", "u"), "a").join(spot("b", "v"), "b").select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct()
-    links = components(settle(_across(met, blocks, bands, 2 * partitions), "across"))
-
+    links = settle(_linked(near, sets, bands), "linked", tasks)
+    roots = components(links)
+    # What is still apart in small groups, and what crowds' deeper keys and short sets give.
+    todo = _across(of(found, GROUP), roots)
+    apart = _rooted(crowds, roots, "a", "b").where("ra <> rb").select("a").distinct()
+    crowds = settle(crowds.join(apart, "a", "left_semi"), "apart", tasks)
+    if crowds.limit(1).count():
+        told = _common(_deeper(crowds, sets, FINER * partitions).where("bucket is not null"), partitions)
+        common = spark.sparkContext.broadcast(_bitmap(told.select((F.col("key").bitwiseAND(F.lit(WANTED - 1)) + 1).alias("v"))))
+        deeper = settle(_deeper(crowds, sets, FINER * partitions, common), "deeper", tasks)
+        found = settle(_candidates(deeper.where("bucket is not null"), bands, partitions), "deeper-candidates", tasks)
+        todo = todo.unionByName(_across(of(found, GROUP), roots)).unionByName(_rooted(of(found, STAR, CROWD), roots, "a", "b").where("ra <> rb").select("a", "b"))
+        todo = todo.unionByName(_short(deeper.where("a is not null").select("a", "b", "na", "nb", "both"), roots, bands))
+    near = settle(_possible(todo.distinct(), kinds, bands), "near", tasks)
     let_go(spark)
-    rooted = hot.join(links.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    members = settle(rooted.join(open_keys, "key", "left_semi"), "open", tasks)
-    if members.limit(1).count():
-        blocks = settle(_blocks(members, sets, tasks), "blocks", tasks)
-        where = blocks.select("block", F.explode("classes").alias("class"))
-        # What a segment's classes meet in is told by tiles, and segments that meet in the same ones count once.
-        tile = F.floor(F.col("block") / TILE)
-        spots = members.join(where, "class").groupBy("key").agg(F.sort_array(F.collect_set(tile)).alias("t")).select("t").distinct()
-        met = settle(spots.select(F.explode("t").alias("tx"), "t").select("tx", F.explode("t").alias("ty")).where("tx <= ty").distinct(), "met", tasks)
-        side = lambda t, n: blocks.select(tile.alias(t), F.col("block").alias(n))
-        block_pairs = met.join(side("tx", "x"), "tx").join(side("ty", "y"), "ty").where("x <= y").select("x", "y")
-        more = settle(_across(block_pairs, blocks, bands, 2 * partitions), "across")
-        links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
-    rooted = per_class.join(links.withColumnRenamed("node", "class"), "class", "left").select("class", "id", F.coalesce("root", "class").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(least, "root").select("class", "component_id")
-    out = slim.select("id", "text_hash", "class", "n").join(named, "class", "left")
+    if near.limit(1).count():
+        more = fetched(ends(near).join(sets.select("class"), "class", "left_anti"))
+        links = settle(links.unionByName(_linked(near, sets.unionByName(more), bands)), "linked", tasks)
+        roots = components(links)
+
+    named = _rooted(kinds.select("class", "id"), roots, "class")
+    least = named.groupBy("rclass").agg(F.min("id").alias("component_id"))
+    named = named.join(least, "rclass").select("class", "component_id")
+    out = slim.join(named, "class", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "text_hash")
 
 
