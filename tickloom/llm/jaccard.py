@@ -18,6 +18,7 @@ and are verified on whole sets. So rows grow as the members of groups do, not as
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,8 @@ SEGMENTS = 2.5
 FEW = 32
 #: What rows of candidates are.
 STAR, CROWD, GROUP = 0, 1, 2
+#: Members of a crowd's largest component that the others are held against before anything else.
+BRIDGES = 4
 #: Buckets of keys to a shuffle partition, which are looked at one after another.
 FINER = 4
 #: Counters that estimate how many sets share a segment; they only order segments.
@@ -489,11 +492,23 @@ def _short(facts: DataFrame, roots: DataFrame, bands: Bands) -> DataFrame:
     reach = F.floor(F.col("both") * (num + den) / num).cast("long") - F.col("nb")
     member = _rooted(facts, roots, "a", "b").withColumn("reach", reach).withColumn("least", F.ceil(F.col("nb") * num / den).cast("long"))
     apart = member.where("ra <> rb").withColumn("most", F.least("reach", F.floor(F.col("nb") * den / num).cast("long"))).where("most >= least")
-    asks = apart.select("a", F.col("b").alias("x"), F.col("rb").alias("rx"), F.col("nb").alias("nx"), F.explode(F.sequence("least", "most")).alias("nb"))
-    met = asks.join(member.select("a", "b", "rb", "nb", "reach"), ["a", "nb"]).where("nx <= reach and rx <> rb")
+    # Sizes that may fit are told by steps of a tenth, so a set has a few of them.
+    step = lambda n: F.floor(F.log(F.col(n)) / math.log(1.1)).cast("int")
+    asks = apart.select("a", F.col("b").alias("x"), F.col("rb").alias("rx"), F.col("nb").alias("nx"), "least", "most", F.explode(F.sequence(step("least"), step("most"))).alias("step"))
+    met = asks.join(member.select("a", "b", "rb", "nb", "reach", step("nb").alias("step")), ["a", "step"]).where("nb between least and most and nx <= reach and rx <> rb")
     return met.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b"))
 
 
+def _bridges(crowds: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may join the components of a crowd: members of its largest one, and one member of each other."""
+    member = _rooted(crowds.unionByName(crowds.select("a", F.col("a").alias("b")).distinct()), roots, "b")
+    drawn = [F.max_by("b", F.xxhash64("b", F.lit(k))).alias(f"m{k}") for k in range(BRIDGES)]
+    parts = member.groupBy("a", "rb").agg(F.count(F.lit(1)).alias("k"), *drawn)
+    most = parts.groupBy("a").agg(F.max_by(F.struct("rb", *(f"m{k}" for k in range(BRIDGES))), F.struct("k", "rb")).alias("most"))
+    pairs = parts.join(most, "a").where("rb <> most.rb").select(F.col("m0").alias("x"), F.explode(F.array(*(f"most.m{k}" for k in range(BRIDGES)))).alias("y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: `id_col`, n_shingles, component_id (the smallest id reachable over links, itself included), text_hash.
 
@@ -503,10 +518,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     with a null id belongs to the component of its text; other columns are not read. An empty table gives an empty
     result, and a text's length bounds nothing but the memory of the task that reads it.
     """
-    from math import gcd
-
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    bands = Bands(num // gcd(num, den), den // gcd(num, den))
+    bands = Bands(num // math.gcd(num, den), den // math.gcd(num, den))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     first = settle(_pass_one(rows.withColumn("text_hash", F.xxhash64("text")), kind, width, bands), "sets")
@@ -533,16 +546,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     links = settle(_linked(near, sets, bands), "linked", tasks)
     roots = components(links)
     # What is still apart in small groups, and what crowds' deeper keys and short sets give.
-    todo = _across(of(found, GROUP), roots)
+    groups, some = of(found, GROUP), None
     apart = _rooted(crowds, roots, "a", "b").where("ra <> rb").select("a").distinct()
     crowds = settle(crowds.join(apart, "a", "left_semi"), "apart", tasks)
     if crowds.limit(1).count():
+        links = settle(links.unionByName(_linked(_possible(_bridges(crowds, roots), kinds, bands), sets, bands)), "linked", tasks)
+        roots = components(links)
         told = _common(_deeper(crowds, sets, FINER * partitions).where("bucket is not null"), partitions)
         common = spark.sparkContext.broadcast(_bitmap(told.select((F.col("key").bitwiseAND(F.lit(WANTED - 1)) + 1).alias("v"))))
         deeper = settle(_deeper(crowds, sets, FINER * partitions, common), "deeper", tasks)
-        found = settle(_candidates(deeper.where("bucket is not null"), bands, partitions), "deeper-candidates", tasks)
-        todo = todo.unionByName(_across(of(found, GROUP), roots)).unionByName(_rooted(of(found, STAR, CROWD), roots, "a", "b").where("ra <> rb").select("a", "b"))
-        todo = todo.unionByName(_short(deeper.where("a is not null").select("a", "b", "na", "nb", "both"), roots, bands))
+        deep = settle(_candidates(deeper.where("bucket is not null"), bands, partitions), "deeper-candidates", tasks)
+        groups = groups.unionByName(of(deep, GROUP))
+        some = _rooted(of(deep, STAR, CROWD), roots, "a", "b").where("ra <> rb").select("a", "b")
+        some = some.unionByName(_short(deeper.where("a is not null").select("a", "b", "na", "nb", "both"), roots, bands))
+    todo = _across(groups, roots) if some is None else _across(groups, roots).unionByName(some)
     near = settle(_possible(todo.distinct(), kinds, bands), "near", tasks)
     let_go(spark)
     if near.limit(1).count():
