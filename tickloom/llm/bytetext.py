@@ -16,7 +16,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Odd, so that powers can be undone modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+#: A prime, and a base of powers modulo it: modulo 2**64 alone whole families of strings have one hash, whatever the base.
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_299_709_421
 
 
 def pieces(batch: pa.RecordBatch, column: str | int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -64,27 +65,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**62."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+
+
 class Powers:
-    """Powers of BASE and of its inverse, grown on demand."""
+    """Powers of BASE and PRIME_BASE and of their inverses, grown on demand."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+        self.up = self.down = self.prime_up = self.prime_down = np.ones(1, np.uint64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if len(self.up) < n:
             n = max(n, 1 << 16)
             up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
             up[0] = down[0] = 1
             self.up, self.down = np.cumprod(up), np.cumprod(down)
-        return self.up, self.down
+            self.prime_up, self.prime_down = (self._modular(b, n) for b in (PRIME_BASE, pow(PRIME_BASE, -1, PRIME)))
+        return self.up, self.down, self.prime_up, self.prime_down
+
+    @staticmethod
+    def _modular(base: int, n: int) -> np.ndarray:
+        out = np.ones(n, np.uint64)
+        done = 1
+        while done < n:  # what is there, times the power that comes next
+            more = min(done, n - done)
+            out[done : done + more] = _reduced(out[:more] * np.uint64(pow(base, done, PRIME)))
+            done += more
+        return out
 
 
 def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of each units[start:end]; equal spans have equal hashes wherever they stand."""
-    up, down = powers.get(len(units) + 1)
+    """A 64-bit hash of each units[start:end], units below 2**31; equal spans have equal hashes wherever they stand."""
+    up, down, prime_up, prime_down = powers.get(len(units) + 1)
+    units = units.astype(np.uint64) + np.uint64(1)
     total = np.zeros(len(units) + 1, np.uint64)
-    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * up[: len(units)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    np.cumsum(units * up[: len(units)], out=total[1:])
+    out = (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    # Sums of up to 2**33 numbers below the prime stay whole.
+    np.cumsum(_reduced(units * prime_up[: len(units)]), out=total[1:])
+    return mix(out + mix(_reduced(_reduced(total[ends] - total[starts]) * prime_down[starts])))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
