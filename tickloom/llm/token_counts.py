@@ -2,9 +2,11 @@
 
 A sequence of tokens is what the BPE makes of its bytes exactly if every two neighbours are what it makes of
 theirs. So the last token of a prefix is the one token that ends there and may follow the last token of the
-prefix before it, and its count is one more. One pass over a piece gives the count at each of its prefixes;
-pieces are remembered by hash, so a text costs a few vector operations and the pieces not seen before.
-Truncation and budget questions are answered from these tables; nothing is encoded again.
+prefix before it, and its count is one more. One pass over a piece gives the count at each of its prefixes; these
+are stored with the piece, so a text costs a few vector operations and the pieces not seen before. Its own prefix
+counts are the sums of the pieces' last ones, and inside a piece the stored ones: a budget is looked up by search in
+the sums and then in one piece. Nothing is encoded again; only where a cut falls among blanks, which then go with
+other pieces than before it, are those few pieces put together anew.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from tickloom.llm.bytetext import Powers, pieces, raw, span_hashes
 #: How the tokenizer splits text before merging (the public pattern of this kind of vocabulary).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and pairs remembered by a worker; beyond it starts afresh, which changes no result.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
+#: Pieces after the first that goes beyond a budget in which a prefix can still end, and before it.
+AROUND = 8
 
 
 def _byte_letters() -> dict[str, int]:
@@ -40,6 +44,7 @@ class PrefixCounter:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._check(spec)
         letters = _byte_letters()
         undo = lambda s: bytes(letters[c] for c in s)
         self.ids = {undo(t): i for t, i in spec["model"]["vocab"].items()}
@@ -51,13 +56,24 @@ class PrefixCounter:
         self.longest = max(map(len, self.ids))
         self.words = {i: t for t, i in self.ids.items()}
         self.pairs: dict[int, bool] = {}
-        self.known: dict[int, int] = {}
-        self.tables: dict[bytes, tuple[int, ...]] = {}
+        self.tables: dict[str, bytes | tuple[int, ...]] = {}
         self.powers = Powers()
         self._classes = None
         self._split = None
         self._special = None
 
+    @staticmethod
+    def _check(spec: dict) -> None:
+        """Refuse what is not a plain byte-level BPE with the pattern that is built in."""
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False or spec.get("normalizer"):
+            raise ValueError("only byte-level BPE files without a normalizer and with the usual split are supported")
+        if any(not t.get("special") or any(t.get(k) for k in ("lstrip", "rstrip", "single_word")) for t in spec.get("added_tokens", [])):
+            raise ValueError("added tokens must be special and plain")
+        if len(model["vocab"]) >= 1 << 20:
+            raise ValueError("vocabularies of 2**20 tokens and more are not supported")
+
     # -- dynamic programming over one piece
 
     def _merged(self, data: bytes) -> list[bytes]:
@@ -108,6 +124,19 @@ class PrefixCounter:
                 break
         return count
 
+    def stored(self, piece: str):
+        """Token counts at every prefix of a piece, by code points; made once for each piece."""
+        found = self.tables.get(piece)
+        if found is None:
+            data = piece.encode()
+            count = self.table(data)
+            if len(data) > len(piece):
+                count = [n for n, x in zip(count, data, strict=False) if (x & 0xC0) != 0x80] + count[-1:]
+            if len(self.tables) >= REMEMBERED:
+                self.tables.clear()
+            found = self.tables[piece] = bytes(count) if count[-1] < 256 else tuple(count)
+        return found
+
     def _own(self, piece: bytes, token: int) -> bool:
         """Whether merging leads to this one token (a vocabulary may hold words that no merge reaches)."""
         ok = self.pairs.get(key := -1 - token)
@@ -177,8 +206,8 @@ class PrefixCounter:
 
     # -- counting
 
-    def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Tokens of each text of UTF-8 bytes laid end to end."""
+    def counts(self, data: np.ndarray, offsets: np.ndarray, budgets: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Tokens of each text of UTF-8 bytes laid end to end, and for each budget the code points of the longest prefix within it."""
         rows = len(offsets) - 1
         out = np.zeros(rows, np.int64)
         whole = data.tobytes()
@@ -191,7 +220,7 @@ class PrefixCounter:
         text = whole.decode()
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         if not len(points):
-            return out
+            return out, [out.copy() for _ in budgets]
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         marks = lead[offsets]
         starts = self.starts(points, marks)
@@ -199,51 +228,70 @@ class PrefixCounter:
         uniq, back = np.unique(span_hashes(points, starts, ends, self.powers), return_inverse=True)
         where = np.zeros(len(uniq), np.int64)
         where[back] = np.arange(len(back))
-        known, value = self.known, np.zeros(len(uniq), np.int64)
-        if len(known) > REMEMBERED:
-            known.clear()
-        for i, h in enumerate(uniq.tolist()):
-            c = known.get(h)
-            if c is None:
-                k = where[i]
-                c = known[h] = self.table(text[starts[k] : ends[k]].encode())[-1]
-            value[i] = c
+        parts = [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        value = np.array([(t or self.stored(p))[-1] for p, t in zip(parts, map(self.tables.get, parts), strict=True)], np.int64)
         total = np.concatenate([[0], np.cumsum(value[back])])
         cut = np.searchsorted(starts, marks)
         out = total[cut[1:]] - total[cut[:-1]]
+        odd = {i for i in odd if any(s in text[marks[i] : marks[i + 1]] for s in self.specials)}
         for i in odd:
-            own = whole[offsets[i] : offsets[i + 1]].decode()
-            if any(s in own for s in self.specials):
-                out[i] = sum(1 if sp else self.table(own[a:b].encode())[-1] for a, b, sp in self.split(own))
-        return out
+            own = text[marks[i] : marks[i + 1]]
+            out[i] = sum(1 if sp else self.stored(own[a:b])[-1] for a, b, sp in self.split(own))
+        fits = []
+        for budget in budgets:
+            best = np.diff(marks)
+            for i in np.flatnonzero(out > budget).tolist():
+                if i in odd:
+                    best[i] = self.longest_prefix(text[marks[i] : marks[i + 1]], budget)
+                    continue
+                # The piece that goes beyond the budget, found in the sums, and a few around it.
+                k = int(np.searchsorted(total, total[cut[i]] + budget, "right")) - 1
+                low, high = max(int(cut[i]), k - AROUND), min(int(cut[i + 1]), k + AROUND)
+                cuts = [(int(starts[j] - marks[i]), int(ends[j] - marks[i]), False) for j in range(low, high)]
+                best[i] = self._longest(text[marks[i] : marks[i + 1]], cuts, (total[low : high + 1] - total[cut[i]]).tolist(), budget)
+            fits.append(best)
+        return out, fits
+
+    def _inside(self, text: str, cuts: list, done: list, k: int) -> list[int]:
+        """Tokens of the prefixes that end in piece k, after each of its code points; done[j]: tokens before piece j."""
+        a, b, special = cuts[k]
+        back = k
+        if special or text[a] == "'" or text[a].isspace():
+            # A cut here can change how the pieces before it split, back to where blanks or signs began.
+            while back and not cuts[back - 1][2] and (text[cuts[back - 1][0] : cuts[back - 1][1]].isspace() or special):
+                back -= 1
+                if not text[cuts[back][0] : cuts[back][1]].isspace():
+                    break
+        if special or text[a] == "'" or back < k:
+            start = cuts[back][0]
+            return [done[back] + sum(1 if s else self.stored(text[start + x : start + y])[-1] for x, y, s in self.split(text[start:p])) for p in range(a + 1, b + 1)]
+        return [done[k] + n for n in self.stored(text[a:b])[1:]]
+
+    def _longest(self, text: str, cuts: list, done: list, budget: int) -> int:
+        """The end of the longest prefix within the budget among those that end in the pieces `cuts`, or where these begin."""
+        for k in range(len(cuts) - 1, -1, -1):
+            if done[max(0, k - AROUND)] <= budget:
+                for p, n in reversed(list(enumerate(self._inside(text, cuts, done, k), cuts[k][0] + 1))):
+                    if n <= budget:
+                        return p
+        return cuts[0][0] if cuts else 0
+
+    def _done(self, text: str, cuts: list) -> list[int]:
+        done = [0]
+        for a, b, special in cuts:
+            done.append(done[-1] + (1 if special else self.stored(text[a:b])[-1]))
+        return done
 
     def prefixes(self, text: str) -> np.ndarray:
         """counts[p]: tokens of the first p code points, for p from 0 to the length."""
-        out = np.zeros(len(text) + 1, np.int64)
-        cuts, done = self.split(text), [0]
-        for k, (a, b, special) in enumerate(cuts):
-            data = text[a:b].encode()
-            own = [0, 1] if special else self.table(data)
-            done.append(done[-1] + own[-1])
-            back = k
-            if special or text[a] == "'" or text[a].isspace():
-                # A cut here can change how the pieces before it split, back to where blanks or signs began.
-                while back and not cuts[back - 1][2] and (text[cuts[back - 1][0] : cuts[back - 1][1]].isspace() or special):
-                    back -= 1
-                    if not text[cuts[back][0] : cuts[back][1]].isspace():
-                        break
-            if special or text[a] == "'" or back < k:
-                start = cuts[back][0]
-                for p in range(a + 1, b + 1):
-                    out[p] = done[back] + sum(1 if s else self.table(text[start + x : start + y].encode())[-1] for x, y, s in self.split(text[start:p]))
-            else:
-                lead = np.flatnonzero([(x & 0xC0) != 0x80 for x in data])
-                out[a + 1 : b + 1] = done[k] + np.asarray(own)[np.append(lead[1:], len(data))]
-        return out
+        cuts = self.split(text)
+        done = self._done(text, cuts)
+        return np.array([0] + [n for k in range(len(cuts)) for n in self._inside(text, cuts, done, k)], np.int64)
 
     def longest_prefix(self, text: str, budget: int) -> int:
         """Code points of the longest prefix that takes no more than `budget` tokens."""
-        return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
+        cuts = self.split(text)
+        return self._longest(text, cuts, self._done(text, cuts), budget)
 
 
 def _shared(path: str, make) -> PrefixCounter:
@@ -258,7 +306,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, budgets: tuple[i
     """Per row: id, n_bytes, n_tokens, over_limit, and for each budget the code points of the longest prefix within it.
 
     path: the tokenizer's .json file, at the same place on every executor. A null text counts as empty (0 tokens).
-    Rows keep their multiplicity and a null id stays null; other columns are not read. Texts are counted whole.
+    Rows keep their multiplicity and a null id stays null; other columns are not read. Texts are counted whole, however
+    long. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_bytes", "n_tokens", "over_limit", *(f"prefix_{b}" for b in budgets)]
@@ -268,10 +317,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, budgets: tuple[i
         for batch in batches:
             for part in pieces(batch, "text"):
                 data, offsets = raw(part.column("text"))
-                n = counter.counts(data, offsets)
-                texts = [x or "" for x in part.column("text").to_pylist()] if budgets else []
-                cuts = [pa.array([counter.longest_prefix(t, b) for t in texts], pa.int64()) for b in budgets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit), *cuts], names=names)
+                n, fits = counter.counts(data, offsets, budgets)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit), *(pa.array(x, pa.int64()) for x in fits)], names=names)
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean" + "".join(f", prefix_{b} bigint" for b in budgets))
