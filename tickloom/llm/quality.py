@@ -2,7 +2,8 @@
 
 A linear score over frequencies of byte-class trigrams, shares of byte classes and of repeated words is fitted by minimising the non-negative unbiased risk
 pi * E_P[l(g, +1)] + max(0, E_U[l(g, -1)] - pi * E_P[l(g, -1)])
-with logistic loss, pi being the estimated share of positives in unlabelled text. As the score is linear in
+with logistic loss, pi being the share of positives in unlabelled text, estimated from margins that models of the other
+half of the texts give. A second such fit of two numbers makes margins scores. No label but the trusted 1 is used. As the score is linear in
 frequencies, their part of it is the mean of the weights at a text's trigrams: one look-up for each byte of whole texts.
 """
 
@@ -109,7 +110,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The largest share of positives that the tail of the unlabelled scores allows (used where no label 0 is known)."""
+    """The largest share of positives that the tail of the unlabelled scores allows."""
     cuts = np.quantile(positive, np.linspace(0.02, 0.6, 30))
     ratio = [(unlabelled >= c).mean() / max((positive >= c).mean(), 1e-9) for c in cuts]
     return float(np.clip(min(ratio), 0.05, 0.99))
@@ -145,41 +146,51 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior:
     return w, b
 
 
-def _calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic fit of labels on margins (Newton steps, lightly held back)."""
+def _calibrate(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift that minimise the unbiased logistic risk of margins that their own models have not learned from (Newton steps, lightly held back)."""
+    margin = np.concatenate([positive, unlabelled, positive])
     scale = max(float(margin.std()), 1e-9)
-    x, t = np.stack([margin / scale, np.ones(len(margin))], 1), np.zeros(2)
-    for _ in range(50):
-        p = _sigmoid(x @ t)
-        t -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (p - label) + 1e-2 * t)
-    return (float(t[0]) / scale, float(t[1])) if t[0] > 0 else (1.0, 0.0)
+    x = np.stack([margin / scale, np.ones(len(margin))], 1)
+    # pi E_P[l(+1)] + E_U[l(-1)] - pi E_P[l(-1)]; with logistic loss l(+1) - l(-1) is minus the margin.
+    weight = np.concatenate([np.full(len(positive), prior / len(positive)), np.full(len(unlabelled), 1 / len(unlabelled)), np.zeros(len(positive))])
+    pull = prior * x[: len(positive)].mean(0)
+    t = np.array([0.0, 0.0])
+    use = slice(len(positive), len(positive) + len(unlabelled))
+    for _ in range(100):
+        p = _sigmoid(x[use] @ t)
+        grad = x[use].T @ (weight[use] * p) - pull + 1e-3 * t
+        t -= np.linalg.solve((x[use] * (weight[use] * p * (1 - p))[:, None]).T @ x[use] + 1e-3 * np.eye(2), grad)
+    return (float(t[0]) / scale, float(t[1])) if t[0] > 0 and np.isfinite(t).all() else (1.0, 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 5) -> QualityModel | None:
-    """Learn from labels of rows where `usable` (a condition on the id) holds; None without trusted positives or other text.
+    """Learn from label 1 of rows where `usable` (a condition on the id) holds; None without trusted positives or other text.
 
-    most: about so many texts of each kind (label 1, label 0, unlabelled) are taken by a hash of the id, which bounds
-    what the driver holds. Ids with labels that differ are left out. Texts with label 0 serve the prior and the
-    calibration only.
+    most: about so many texts of each kind (label 1, unlabelled) are taken by a hash of the id, which bounds what the
+    one task that learns holds. No other label is read: texts without any are the unlabelled ones (where all have one,
+    all texts are), and the share of positives among them is estimated. Ids with labels that differ are left out, as
+    are null ids, texts and labels. Repeated rows count as often as they are there.
     """
     named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("low"), F.max(label_col).cast("int").alias("high"))
-    known = named.where((F.col("low") == F.col("high")) & usable).select("id", F.col("low").alias("label"))
-    count = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    trusted = named.where((F.col("low") == 1) & (F.col("high") == 1) & usable).select("id")
+    seen_ids, positives = named.agg(F.count(F.lit(1)), F.sum(((F.col("low") == 1) & (F.col("high") == 1) & usable).cast("long"))).first()
     texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = docs.count()
-    if not count.get(1) or not total:
+    if not positives or not total:
         return None
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.when(F.col("label") == 1, min(1.0, most / count[1])).otherwise(min(1.0, most / max(count.get(0, 1), 1)))
-    # Bounded by 2 * most rows, so it can be broadcast.
-    picked = known.where(draw < rate)
-    seen = texts.join(F.broadcast(picked), "id").select("id", "text", "label")
-    free = max(1, total - sum(count.values()))
-    other = texts.where(draw < min(1.0, most / free)).join(named.select("id"), "id", "left_anti").select("id", "text", F.lit(-1).alias("label"))
+    # Bounded by about `most` ids, so it can be broadcast.
+    picked = trusted.where(draw < min(1.0, most / positives))
+    seen = texts.join(F.broadcast(picked), "id").select("id", "text", F.lit(1).alias("label"))
+    free = total - seen_ids
+    other = texts.where(draw < min(1.0, most / (free if free > 0 else total)))
+    if free > 0:
+        other = other.join(named.select("id"), "id", "left_anti")
+    other = other.select("id", "text", F.lit(-1).alias("label"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
-        model = _learned([r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.int64), count, seed)
+        model = _learned([r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.int64), seed)
         if model:
             yield pa.RecordBatch.from_arrays([pa.array([m.tobytes() for m in [model.weights]], pa.binary()), pa.array([[model.center, model.bias, model.prior, model.slope, model.shift]], pa.list_(pa.float64()))], names=["weights", "rest"])
 
@@ -191,9 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 1000, id
     return QualityModel(np.frombuffer(bytes(got["weights"]), np.float64).copy(), center, bias, prior, slope, shift)
 
 
-def _learned(texts: list[str], y: np.ndarray, count: dict[int, int], seed: int) -> QualityModel | None:
-    """A model from texts with labels 1, 0 and -1 (unlabelled); count: how many of each label there are in all."""
-    if not (y == 1).any() or not (y == -1).any() and not (y == 0).any():
+def _learned(texts: list[str], y: np.ndarray, seed: int) -> QualityModel | None:
+    """A model from texts with labels 1 and -1 (unlabelled)."""
+    if not (y == 1).any() or not (y == -1).any():
         return None
     x = features(texts)
     damp = damping(np.array([len(t.encode()) for t in texts])).astype(np.float32)
@@ -202,22 +213,24 @@ def _learned(texts: list[str], y: np.ndarray, count: dict[int, int], seed: int)
     scale = np.concatenate([EMPHASIS[i : i + 256] / (x[:, i : i + 256].std(axis=0) + 1e-4) for i in range(0, x.shape[1], 256)]).astype(np.float32)
     x *= scale
     x *= damp[:, None]
-    positive, unlabelled = np.flatnonzero(y == 1), np.flatnonzero(y == -1) if (y == -1).any() else np.arange(len(y))
-    if count.get(0):
-        prior = count[1] / (count[0] + count[1])
-    else:
-        first = fit_nnpu(x, positive, unlabelled, 0.5, seed=seed)
-        margin = x @ first[0].astype(np.float32)
-        prior = estimate_prior(margin[positive], margin[unlabelled])
+    positive, unlabelled = np.flatnonzero(y == 1), np.flatnonzero(y == -1)
+
+    def crossed(prior: float) -> np.ndarray:
+        """Margins of every text by a model of the other half."""
+        out = np.zeros(len(y))
+        for k in (0, 1):
+            parts = [r[k::2] if len(r) > 1 else r for r in (positive, unlabelled)]
+            w, b = fit_nnpu(x, *parts, prior, seed=seed)
+            other = np.concatenate([r[1 - k :: 2] if len(r) > 1 else r for r in (positive, unlabelled)])
+            out[other] = x[other] @ w.astype(np.float32) + b
+        return out
+
+    margin = crossed(0.5)
+    prior = estimate_prior(margin[positive], margin[unlabelled])
+    margin = crossed(prior)
     w, b = fit_nnpu(x, positive, unlabelled, prior, seed=seed)
-    model = QualityModel((w * scale).astype(np.float64), float((w * scale) @ mean), float(b), float(prior))
-    if (y == 0).any():
-        some = y >= 0
-        # In proportion to what is labelled, though each kind was drawn to a bound of its own.
-        margin = (x @ w.astype(np.float32))[some] + b
-        model.slope, model.shift = _calibrate(margin, y[some])
-        model.shift += float(np.log(prior / (1 - prior)) - np.log((y == 1).sum() / (y == 0).sum()))
-    return model
+    slope, shift = _calibrate(margin[positive], margin[unlabelled], prior)
+    return QualityModel((w * scale).astype(np.float64), float((w * scale) @ mean), float(b), float(prior), slope, shift)
 
 
 def score(docs: DataFrame, model: QualityModel | None, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
