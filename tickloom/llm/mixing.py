@@ -135,14 +135,16 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0,
 
     A null text has no words; rows without words get 0 or more copies of nothing. Rows keep their multiplicity,
     a null id or source is a value like others, other columns are not read. No row gets more than
-    ceil(cap) copies. An empty table gives an empty result.
+    ceil(cap) copies. An empty table gives an empty result. Rows that are alike are counted before they are dealt over
+    blocks, and each is drawn for by its number among them.
     """
     sized = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *keep), "sizes")
     targets = source_targets(sized, share, weights, cap).select(F.col("source").alias("of"), "source_size", "n_docs", "target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     rows = rows.withColumn("ratio", ratio).withColumn("base", F.floor("ratio").cast("long")).withColumn("p", F.col("ratio") - F.col("base")).drop("ratio")
-    rows = rows.withColumn("key", F.xxhash64("doc_id"))
+    alike = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_alike"))
+    rows = alike.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_alike")))).withColumn("key", F.when(F.col("_turn") == 1, F.xxhash64("doc_id")).otherwise(F.xxhash64("doc_id", "_turn"))).drop("_alike", "_turn")
     out = round_copies(rows, seed)
     return out.select("doc_id", *keep, "size", "source", "source_size", "target", F.col("copies"), (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -150,17 +152,19 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0,
 def mixed_rows(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), cap: float = 2.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of docs as many times as it is taken, with all its columns.
 
-    Rows with the same id and text are alike to the mix, so their copies are dealt out over them evenly.
+    Rows with the same id and text are alike to the mix, so their copies are dealt out over them evenly. Columns of any
+    name are kept; null ids, texts and sources are values, and an empty table gives an empty one.
     """
     keyed = docs.select(F.col(id_col), F.col(source_col), F.col(text_col), F.xxhash64(text_col).alias("_hash"))
     taken = mix(keyed, share, weights, cap, seed, id_col, text_col, source_col, keep=("_hash",))
     per = settle(taken.groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies")
     repeated = per.where("_rows > 1").limit(1).count() > 0
-    rows = docs.withColumn("_of", F.xxhash64(text_col)).join(per, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_hash")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_own"), F.xxhash64(F.col(f"`{text_col}`")).alias("_of"))
+    rows = whole.join(per, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_hash")))
     if repeated:
         from pyspark.sql import Window
 
         nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.monotonically_increasing_id()))
         rows = rows.withColumn("_copies", F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("long"))
     times = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
-    return rows.select(*docs.columns, times.alias("_nth")).drop("_nth")
+    return rows.select("_row", times.alias("_nth")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -122,7 +122,8 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
 
     Equal texts share a shard; sizes of shards are as near to equal as that allows, and slots number a shard's rows
     from 0 without gaps. A null text has no bytes; all null texts are one group. Equal rows get slots of their own.
-    keep: all columns of docs as well. An empty table gives an empty result.
+    keep: all columns of docs as well; one named like a column above comes as that name and `_of_docs`. A null id is
+    a value like others. An empty table gives an empty result.
     """
     made = {"_h": text_hash(F.col(text_col)), "_size": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8, "_crc": F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long")}
     slim = settle(docs.select(F.col(id_col).alias("_id"), *[c.alias(n) for n, c in made.items()]), "slim")
@@ -150,11 +151,18 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     before = F.coalesce(F.sum("m").over(Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # At most shards * 4096 rows whatever the input, so it can be broadcast.
     starts = F.broadcast(counted.select(F.col("_shard"), F.col("_part"), before.alias("_before")))
-    rows = docs.withColumns({"_id": F.col(id_col), **made}) if keep else slim
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.col(f"`{id_col}`").alias("_id"), *[c.alias(n) for n, c in made.items()]) if keep else slim
     order = Window.partitionBy("_shard", "_part").orderBy("_id", "_h", "_size")
     rows = rows.withColumns(dealt).withColumn("_nth", F.row_number().over(order)).join(starts, ["_shard", "_part"], "left")
     own = [F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), (F.col("_before") + F.col("_nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")]
     if keep:
-        clash = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
-        return rows.select(*[F.col(c) for c in docs.columns if c not in clash], *own)
+        taken = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"} | {c.lower() for c in docs.columns}
+        names = []
+        for c in docs.columns:
+            name = c
+            while name.lower() in {"size", "text_crc32", "law", "shard", "slot", "grown_shard"} or name != c and name.lower() in taken:
+                name += "_of_docs"
+            names.append(name)
+        return rows.select(*[F.col("_row").getField(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], *own)
     return rows.select(F.col("_id").alias("doc_id"), *own)
