@@ -128,23 +128,26 @@ class Bundle:
 
 
 def revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Payload digests (hex) that several pages have, with the largest page id; pages of `least` bytes and more count."""
+    """Payload digests (hex) that several pages have, with the largest page id and how many; pages of `least` bytes and more count."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     slim = pages.where(F.octet_length(payload) >= least).select(F.sha1(payload.cast("binary")).alias("digest"), F.col(id_col).cast("long").alias("id"))
-    return slim.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "refers_to")
+    return slim.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame_bytes: int = 256 << 10, bundle_bytes: int = 64 << 20, level: int = 3, salts: int = 16, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame_bytes: int = 256 << 10, bundle_bytes: int = 64 << 20, level: int = 3, per_salt: int = 20_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write every page as a record; returns the index (page_id, bundle, frame, offset, length), settled.
 
     Null html is an empty payload, a null url an empty one; a null id is kept and never referred to. Of equal
     payloads the one with the largest id is the response (all of its rows, if the row is repeated), others revisit
-    it. A payload that many pages share is dealt over `salts` partitions.
+    it. Where more than `per_salt` pages share a payload, repeated payloads are dealt over so many more partitions. An
+    empty table gives no bundle; a long payload makes a frame of its own.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("html"))
+    again = scratch.settle(revisits(pages, least, id_col, html_col), "warc-revisits")
+    salts = 1 + (again.agg(F.max("n").alias("n")).first()["n"] or 0) // per_salt
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    again = revisits(pages, least, id_col, html_col).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    again = again.select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1).cast("int"))).alias("salt"))
     joined = rows.join(again, ["digest", "salt"], "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +174,11 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame_bytes: in
     return scratch.settle(joined.mapInArrow(run, INDEX), "warc-index")
 
 
-def read_bundles(index: DataFrame) -> DataFrame:
-    """Every record of the bundles that the index names, parsed; payload digests of responses are computed anew and compared."""
+def read_bundles(index: DataFrame, frames: int = 32) -> DataFrame:
+    """Every record of the bundles that the index names, parsed; payload digests of responses are computed anew and compared.
+
+    `frames` frames at a time are dealt evenly over the cluster, whatever the number of bundles.
+    """
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +187,10 @@ def read_bundles(index: DataFrame) -> DataFrame:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, unit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 home, name = _opened(path)
                 with home.open_input_file(name) as source:
-                    for start, size, plain in read_seek_table(source, source.size()):
+                    for start, size, plain in read_seek_table(source, source.size())[unit * frames : (unit + 1) * frames]:
                         source.seek(start)
                         data = zstandard.ZstdDecompressor().decompress(source.read(size), max_output_size=plain)
                         rows, at = [], 0
@@ -193,7 +199,9 @@ def read_bundles(index: DataFrame) -> DataFrame:
                             rows.append(_fields(head, block))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return index.select("bundle").distinct().repartition(n, "bundle").mapInArrow(run, RECORD)
+    units = index.groupBy("bundle").agg(F.max("frame").alias("last")).select("bundle", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / frames).cast("int"))).alias("unit"))
+    # Dealt in turn to a fixed number of tasks: rows of a few bytes would else be put together in one.
+    return units.repartition(n).mapInArrow(run, RECORD)
 
 
 def _page(urn: str) -> int | None:
