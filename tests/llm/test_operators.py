@@ -256,6 +256,19 @@ def test_mixing(spark):
     assert mixing.mix(df.where("false")).count() == 0 and mixing.mixed_rows(df.where("false")).count() == 0
 
 
+def test_columns_of_any_name_are_kept(spark):
+    names = ["_id", "_of", "_hash", "_copies", "_size", "_h", "_row", "_nth", "size", "size_of_docs", "shard", "key", "p", "base", "bit", "item", "class", "id"]
+    rnd = random.Random(12)
+    rows = [(k, prose(rnd, 12), rnd.choice("ab"), *(f"{n}-{k}" for n in names)) for k in range(40)] + [(None, None, None, *[None] * len(names)), (3, "x y", "a", *(f"{n}-again" for n in names))]
+    df = spark.createDataFrame(rows, f"doc_id bigint, text string, source string, {', '.join(f'`{n}` string' for n in names)}")
+    mixed = mixing.mixed_rows(df)
+    assert mixed.columns == df.columns and set(map(tuple, mixed.collect())) <= set(rows)
+    kept = sharding.shard(df, 4, keep=True)
+    renamed = {"size": "size_of_docs_of_docs", "shard": "shard_of_docs"}
+    assert sorted((tuple(r[renamed.get(c, c)] for c in df.columns) for r in kept.collect()), key=str) == sorted(rows, key=str)
+    assert jaccard.one_of_each(df).columns == df.columns and jaccard.one_of_each(df).count() == len(rows)
+
+
 # -- 5
 
 def test_token_counts(spark):
@@ -269,16 +282,16 @@ def test_token_counts(spark):
     texts = ["it's we're 'll ''s", "a \t b\n\n  c", "<|endoftext|>hi!<|endoftext|>", "日本 テ　x", "  ", "|\n\ndrs>''"] + ["".join(rnd.choice(" \n\t'srevlmdt1a9é日!<|>½　") for _ in range(rnd.randrange(1, 25))) for _ in range(300)] + [prose(rnd, 3000)]
     want = {k: len(e) for k, e in enumerate(tk.encode_batch(texts, add_special_tokens=False))}
     df = frame(spark, [*((k, t, None) for k, t in enumerate(texts)), (1000, None, None), (1001, "", None), (0, texts[0], None)], True)
-    got = token_counts.count_tokens(df, path, 1024, budgets=(3,))
+    got = token_counts.count_tokens(df, path, 1024, budgets=(3, 9))
     rows = got.collect()
     assert len(rows) == len(texts) + 3 and {r["doc_id"]: r["n_tokens"] for r in rows} == want | {1000: 0, 1001: 0}
     assert all(r["over_limit"] == (r["n_tokens"] > 1024) and r["n_bytes"] == len((texts[r["doc_id"]] if r["doc_id"] < 1000 else "").encode()) for r in rows)
     counter = token_counts.PrefixCounter(path)
-    cut = {r["doc_id"]: r["prefix_3"] for r in rows}
-    for k, t in enumerate(texts[:60]):
+    cut = {r["doc_id"]: (r["prefix_3"], r["prefix_9"]) for r in rows}
+    for k, t in enumerate(texts[:200]):
         every = [len(tk.encode(t[:p], add_special_tokens=False)) for p in range(len(t) + 1)]
         assert counter.prefixes(t).tolist() == every, t
-        assert cut[k] == max(p for p, n in enumerate(every) if n <= 3)
+        assert cut[k] == tuple(max(p for p, n in enumerate(every) if n <= b) for b in (3, 9))
     assert token_counts.count_tokens(df.where("false"), path).count() == 0
 
 
@@ -434,6 +447,54 @@ def test_ngram_join_of_near_copies_without_ids(spark):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.near_duplicates(df).collect()) == brute_components(rows)
 
 
+def test_ngram_join_of_crowds(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    rnd = random.Random(8)
+    rows = []
+    for g in range(3):  # copies about the threshold, of originals that are there or not, and of other copies
+        base = prose(rnd, 110).split()
+        texts = [list(base)] if g else []
+        for _ in range(40):
+            w = list(rnd.choice(texts) if texts and rnd.random() < 0.2 else base)
+            for _ in range(rnd.randrange(1, 7)):
+                w[rnd.randrange(len(w))] = rnd.choice(SYLLABLES)
+            texts.append(w[: len(w) - rnd.randrange(12)])
+        rows += [(100 * g + k, " ".join(w), "a") for k, w in enumerate(texts)]
+    passage = prose(rnd, 60)
+    rows += [(1000 + k, f"{passage} {prose(rnd, rnd.randint(8, 30))}", "a") for k in range(30)]
+    df = frame(spark, rows)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.near_duplicates(df).collect())
+    assert got == brute_components(rows)
+
+
+def mirrored(n):
+    """Two texts of n letters whose polynomials modulo 2**64 are equal, whatever the base."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate({97: 98, 98: 97})
+    return a, a.translate({97: 98, 98: 97})
+
+
+def test_texts_with_equal_polynomials(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [x for n in (1024, 4096) for x in mirrored(n)]
+    df = frame(spark, [(k, x, "a") for k, x in enumerate(texts)])
+    assert all(r["doc_id"] == r["component_id"] for r in jaccard.near_duplicates(df).collect())
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    tk.no_truncation()
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df.coalesce(1), path).collect()} == {k: len(tk.encode(x).ids) for k, x in enumerate(texts)}
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    import tickloom.llm.components as module
+
+    monkeypatch.setattr(module, "ONE_TASK", 0)
+    test_components(spark)
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1200)]
