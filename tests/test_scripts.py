@@ -129,3 +129,30 @@ def test_one_exchange_for_all_windows(spark):
 def test_weighted_sma(spark):
     got = run(arrays(spark, {"close": [3.0, 6.0, 9.0]}), "A: SMA(C,3,1);", weighted_sma=True).orderBy("time").collect()
     assert [r["A"] for r in got] == pytest.approx([3.0, 4.0, 4.0 + 5 / 3])
+
+
+def test_streams_take_parameters_and_functions_of_users(spark):
+    from tickloom.functions.registry import REGISTRY, register
+    from tickloom.plans.pointwise import POINTWISE
+    from tickloom.streaming.incremental import Machine
+
+    close = [float(k * 7 % 11) for k in range(60)]
+    frame = arrays(spark, {"close": close})
+    cases = [("n = input.int(3, \"N\")\nplot(ta.sma(close, n))", "pine", {"n": 20}), ("Inputs: N(3); Plot1(Average(Close, N), \"M\");", "easylanguage", {"N": 30}), ("plot(ta.sma(close, input.int(2, \"N\")))", "pine", {"N": 9}), ("N:=4*5; A: MA(C,N); B: BARSSINCEN(C>5,3); D: HHV(C,BARSLAST(C>8)+1);", "hithink", {})]
+    for script, language, parameters in cases:
+        want = [r.asDict() for r in run(frame, script, language, parameters=parameters).orderBy("time").collect()]
+        m = Machine(script, language, parameters)
+        for bar, row in zip([{"close": c} for c in close], want, strict=True):
+            for name, v in m.step(bar).items():
+                assert v == pytest.approx(row[name]), (script, row)
+    try:
+        register("twice", args=1, pointwise=lambda x: None if x is None else 2 * x)(lambda x: x * 2)
+        register("thrice", args=1)(lambda x: x * 3)
+        assert [r["A"] for r in run(frame, "A: TWICE(C);").orderBy("time").collect()] == [Machine("A: TWICE(C);").step({"close": c})["A"] for c in close]
+        with pytest.raises(ScriptError, match="no rule"):
+            Machine("A: THRICE(C);").step({"close": 1.0})
+        assert Machine("A: WINNER(C);").step({"close": 1.0}) == {"A": None}
+    finally:
+        for name in ("twice", "thrice"):
+            REGISTRY.pop(name, None)
+            POINTWISE.pop(name, None)

@@ -25,18 +25,31 @@ class Function:
 
 
 REGISTRY: dict[str, Function] = {}
+#: Names that take arguments but calculate nothing.
+NOTHING: set[str] = set()
 
 
-def register(*names: str, args: int | tuple[int, int] = 0, kind: str = "scalar", lengths: tuple[int, ...] = ()):
+def calculates_nothing(name: str) -> bool:
+    return name in NOTHING
+
+
+def register(*names: str, args: int | tuple[int, int] = 0, kind: str = "scalar", lengths: tuple[int, ...] = (), pointwise: Callable | None = None):
     """Register a builder under names; users add functions of their own with it.
 
     A scalar builder takes Columns (doubles). A window builder takes a Frames and then Columns, with ints for lengths.
+    pointwise: the same for the numbers of one bar (None if missing), which streams use; without it a stream refuses
+    the name.
     """
     least, most = args if isinstance(args, tuple) else (args, args)
 
     def add(build: Callable) -> Callable:
         for n in names:
             REGISTRY[n] = Function(n, least, most, kind, build, lengths)
+            NOTHING.discard(n)
+            if pointwise:
+                from tickloom.plans.pointwise import POINTWISE
+
+                POINTWISE[n] = pointwise
         return build
 
     return add

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.registry import missing, number, real, register, unless_zero
+from tickloom.functions.registry import NOTHING, missing, number, real, register, unless_zero
 
 
 def _whole(x):
@@ -109,3 +109,4 @@ for _names, _args in (
     (("testskip",), 1),
 ):
     register(*_names, args=_args)(lambda *_: missing())
+    NOTHING.update(_names)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import tickloom.functions  # noqa: F401
 from tickloom.operators.run import run, screen
-from tickloom.sources.bars import resample
+from tickloom.sources.bars import count, mock, resample
 
 BARS = """
 select user_id, event_id, ts, close, open, greatest(coalesce(close, open), open) + event_id % 3 as high,
@@ -87,6 +87,11 @@ def nth(x: str, n: int, m: int, t: int, descending: bool) -> str:
     return f"list_sort(list({x}) filter ({x} is not null) {over(m, n)}, '{'DESC' if descending else 'ASC'}')[{t}]"
 
 
+def nth_bars(x: str, n: int, m: int, t: int, sign: str) -> str:
+    """Bars since the t-th of the m bars before the last n by value, the oldest of equal ones first."""
+    return f"i - struct_extract(list_sort(list(struct_pack(v := {sign}{x}, at := i)) filter ({x} is not null) {over(m, n)})[{t}], 'at')"
+
+
 def crossing(a: str, b: str, pa: str, pb: str, both: bool = True) -> str:
     up = f"({a} > {b} and {pa} <= {pb})"
     return f"case when coalesce({up}{f' or ({a} < {b} and {pa} >= {pb})' if both else ''}, false) then 1 else 0 end"
@@ -139,9 +144,16 @@ SPECS: dict[str, tuple[str, str | None]] = {
     "easylanguage": ("Inputs: Length(5); Variables: M(0); M = Average(Close, Length); Plot1(M, \"M\");", sql(final={"M": full("avg(close)", "close", 5)})),
     "two_averages": ("MA5: MA(CLOSE,5);\nMA10: MA(CLOSE,10);\nSIG: CROSS(MA5,MA10);", sql({"MA5": full("avg(close)", "close", 5), "MA10": full("avg(close)", "close", 10)}, {"p5": f"lag(MA5) {LAG}", "p10": f"lag(MA10) {LAG}"}, final={"MA5": "MA5", "MA10": "MA10", "SIG": crossing("MA5", "MA10", "p5", "p10")})),
     "stubs": ("A: SAR(1,2); B: WINNER(C); D: BETA(C,O); E: CURRBARSCOUNT(); G: REFDATE(C,1); K: COSTEX(C); N: LFS(); P: IFF(C,1,2); Q: TESTSKIP(1); R: UPNDAY(C,2); S: FORCAST(C,3); T: RELATE(C,O,3); U: BETAX(C,O,3); W: TOTALRANGE();", sql(final=dict.fromkeys("ABDEGKNPQRSTUW", "null"))),
+    "more_stubs": ("A: LWINNER(); B: NEWSAR(); D: PPART(); E: PWINNER(C); G: SARTURN(); K: IFC(C,1,2); N: IFN(C,1,2); P: DOWNNDAY(C,2); Q: NDAY(C,O);", sql(final=dict.fromkeys("ABDEGKNPQ", "null"))),
+    "pine_inputs": ("indicator(\"mean\")\nn = input.int(3, \"N\")\nplot(ta.sma(close, n))", sql(final={"plot": f"case when i >= 3 then avg(close) {over(4)} end"})),
+    "plots": ("Plot1(Close, \"A\"); Plot2(Open + 1, \"B\"); Plot3(High, \"D\"); Plot4(Low * 2, \"E\"); Plot5(Volume, \"G\");", sql(final={"A": "close", "B": "open + 1", "D": "high", "E": "low * 2", "G": "volume"})),
+    "find_bars_ranked": ("A: FINDHIGHBARS(O,1,5,2); B: FINDLOWBARS(C,2,6,3);", sql(final={"A": nth_bars("open", 1, 5, 2, "-"), "B": nth_bars("close", 2, 6, 3, "")})),
     "rand": ("A: RAND();", None),
 }
-LANGUAGES = {"ta_sma": "pine", "ta_ema": "pine", "pine_branches": "pine", "branches": "easylanguage", "easylanguage": "easylanguage"}
+SPECS["ta_rsi"] = ("plot(ta.rsi(open, 5))", SPECS["rsi"][1].replace(" as A from r", " as plot from r"))
+#: Parameters that queries are given.
+OPTIONS: dict[str, dict] = {"pine_inputs": {"parameters": {"n": 4}}}
+LANGUAGES = {"pine_inputs": "pine", "ta_rsi": "pine", "plots": "easylanguage", "ta_sma": "pine", "ta_ema": "pine", "pine_branches": "pine", "branches": "easylanguage", "easylanguage": "easylanguage"}
 
 
 def high_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,5 +178,23 @@ arg_max(value, (ts, event_id)) as c, count(value) as v from events group by 1)
 select time, round(case when count(c) over w = 3 then avg(c) over w end, 6) as M, round(h - l, 6) as R, round(o, 6) as F, v::double as N
 from g window w as (order by time rows between 2 preceding and current row)"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: scripted(s, LANGUAGES.get(n, "hithink")) for n, (s, _) in SPECS.items()} | {"high_screen": high_screen, "resampled": hourly}
-ORACLES: dict[str, str] = {n: o for n, (_, o) in SPECS.items() if o} | {"high_screen": HIGH_SCREEN, "resampled": HOURLY}
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated bars."""
+    return mock(spark, 1000).select(*[F.round(c, 6).alias(c) for c in ("time", "open", "high", "low", "close", "volume")])
+
+
+GENERATED = """with k as (select range as k from range(1000)), c as (select k, 100 + 0.5 * (k % 20 - 10) as close from k),
+o as (select *, close - 0.1 * (k % 5 - 2) as open from c)
+select cast(1672531200 + 60 * k as double) as time, round(cast(open as double), 6) as open, round(cast(greatest(open, close) + 0.05 * (k % 3) as double), 6) as high,
+round(cast(least(open, close) - 0.05 * (k % 3) as double), 6) as low, round(cast(close as double), 6) as close, cast(1000 + 100 * (k % 5) as double) as volume from o"""
+
+
+def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bars there are."""
+    return count(bars(spark, sf_dir))
+
+
+ROW_COUNT = "select count(*) as bars from events"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: scripted(s, LANGUAGES.get(n, "hithink"), **OPTIONS.get(n, {})) for n, (s, _) in SPECS.items()} | {"high_screen": high_screen, "resampled": hourly, "generated": generated, "row_count": row_count}
+ORACLES: dict[str, str] = {n: o for n, (_, o) in SPECS.items() if o} | {"high_screen": HIGH_SCREEN, "resampled": HOURLY, "generated": GENERATED, "row_count": ROW_COUNT}

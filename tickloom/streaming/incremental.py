@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tickloom.functions.barwise import RULES, SinceN
-from tickloom.functions.registry import REGISTRY
+from tickloom.functions.registry import REGISTRY, calculates_nothing
 from tickloom.plans.compiler import INPUTS
 from tickloom.plans.parse import parse
 from tickloom.plans.pointwise import POINTWISE
@@ -64,8 +64,11 @@ def lookback(script: Script, least: int = 2, parameters: dict | None = None) ->
                 got = [constant(x, env), constant(y, env)]
                 return None if None in got else POINTWISE[op](*got)
             case Call("input.int", args) if args:
-                x = constant(args[0], env)
-                return None if x is None else float(int(x))
+                title = args[1].value if len(args) > 1 and isinstance(args[1], Text) else None
+                if any(str(k).startswith("input_") for k in given):
+                    return None
+                x = given.get(title, constant(args[0], env))
+                return float(int(x)) if isinstance(x, (int, float)) else None
             case Call(n, args) if n in POINTWISE and args:
                 got = [constant(x, env) for x in args]
                 return None if None in got else POINTWISE[n](*got)
@@ -98,6 +101,8 @@ def lookback(script: Script, least: int = 2, parameters: dict | None = None) ->
                 case Assign(name, v) | Declare(name, v):
                     most = max(most, deep(v, env))
                     env[name] = constant(v, env)
+                    if isinstance(v, Call) and v.name == "input.int" and isinstance(given.get(name), (int, float)):
+                        env[name] = float(int(given[name]))
                     if isinstance(s, Declare) and s.parameter and name in given:
                         env[name] = given[name] if isinstance(given[name], (int, float)) else None
                 case Evaluate(v):
@@ -126,7 +131,7 @@ class Machine:
         self.bar = 0
 
     def step(self, bar: dict) -> dict:
-        self.now, self.out, self.calls = bar, {}, 0
+        self.now, self.out, self.calls, self.asked = bar, {}, 0, {}
         self.block(self.script.body, {})
         self.bar += 1
         return self.out
@@ -152,7 +157,7 @@ class Machine:
         for s in body:
             match s:
                 case Assign(name, value, output):
-                    env[name] = self.value(value, env)
+                    env[name] = self.value(value, env, name)
                     if output:
                         self.out[name] = self.number(env[name])
                 case Declare(name, value, parameter):
@@ -178,7 +183,7 @@ class Machine:
         s.add(value)
         return s
 
-    def value(self, node, env: dict):
+    def value(self, node, env: dict, for_name: str = ""):
         match node:
             case Num(v):
                 return v
@@ -210,7 +215,9 @@ class Machine:
                 if n == "indicator":
                     return 0.0
                 if n == "input.int":
-                    return float(int(got[0]))
+                    name = for_name or (got[1] if len(got) > 1 else f"input_{len(self.asked) + 1}")
+                    self.asked[name] = float(int(self.parameters.get(name, got[0])))
+                    return self.asked[name]
                 if n.startswith("plot"):
                     title = got[1] if len(got) > 1 and isinstance(got[1], str) and self.script.language == "easylanguage" else n
                     name, k = title, 2
@@ -233,6 +240,8 @@ class Machine:
         if name in POINTWISE:
             return POINTWISE[name](*got)
         if name not in RULES:
+            if not calculates_nothing(name):
+                raise ScriptError(f"{name}() has no rule for single bars; give register() one as `pointwise`")
             return None
         # All calls of a script are made for every bar, always in the same order, which tells them apart.
         site, self.calls = (self.calls, name), self.calls + 1
