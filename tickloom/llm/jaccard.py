@@ -490,12 +490,14 @@ def _short(facts: DataFrame, roots: DataFrame, bands: Bands) -> DataFrame:
     """Pairs of a crowd whose shingles in its core may be enough to link them; one of each is apart from its first class."""
     num, den = bands.num, bands.den
     reach = F.floor(F.col("both") * (num + den) / num).cast("long") - F.col("nb")
-    member = _rooted(facts, roots, "a", "b").withColumn("reach", reach).withColumn("least", F.ceil(F.col("nb") * num / den).cast("long"))
+    # Two members that are in several crowds are paired in the first of them.
+    crowds = facts.groupBy("b").agg(F.collect_set("a").alias("crowds"))
+    member = _rooted(facts, roots, "a", "b").join(crowds, "b").withColumn("reach", reach).withColumn("least", F.ceil(F.col("nb") * num / den).cast("long"))
     apart = member.where("ra <> rb").withColumn("most", F.least("reach", F.floor(F.col("nb") * den / num).cast("long"))).where("most >= least")
     # Sizes that may fit are told by steps of a tenth, so a set has a few of them.
     step = lambda n: F.floor(F.log(F.col(n)) / math.log(1.1)).cast("int")
-    asks = apart.select("a", F.col("b").alias("x"), F.col("rb").alias("rx"), F.col("nb").alias("nx"), "least", "most", F.explode(F.sequence(step("least"), step("most"))).alias("step"))
-    met = asks.join(member.select("a", "b", "rb", "nb", "reach", step("nb").alias("step")), ["a", "step"]).where("nb between least and most and nx <= reach and rx <> rb")
+    asks = apart.select("a", F.col("b").alias("x"), F.col("rb").alias("rx"), F.col("nb").alias("nx"), F.col("crowds").alias("cx"), "least", "most", F.explode(F.sequence(step("least"), step("most"))).alias("step"))
+    met = asks.join(member.select("a", "b", "rb", "nb", "reach", "crowds", step("nb").alias("step")), ["a", "step"]).where("nb between least and most and nx <= reach and rx <> rb and array_min(array_intersect(cx, crowds)) = a")
     return met.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b"))
 
 
