@@ -225,8 +225,9 @@ class _Index:
             own, back = np.unique(v, return_inverse=True)
             bytes6 = np.ascontiguousarray(k.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
             back = back.astype(np.uint16 if len(own) <= 65536 else np.uint32)
-            blobs.append(b"".join([np.array([len(k), len(own)], np.int64).tobytes(), c[own].tobytes(), n[own].astype(np.int32).tobytes(), bytes6, back.tobytes()]))
-        return [pa.array(range(self.buckets), pa.int32()), pa.array(blobs, pa.binary())]
+            blobs.append(b"".join([np.array([len(k), len(own)], np.int64).tobytes(), c[own].tobytes(), n[own].astype(np.int32).tobytes(), bytes6, back.tobytes()]) if len(k) else None)
+        some = [b for b, x in enumerate(blobs) if x is not None]
+        return [pa.array(some, pa.int32()), pa.array([blobs[b] for b in some], pa.binary())]
 
 
 def _pass_two(rows: DataFrame, width: int, bands: Bands, shared, hard: frozenset, buckets: int) -> DataFrame:
@@ -434,10 +435,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
 
 def _deeper(crowds: DataFrame, sets: DataFrame, buckets: int, common=None) -> DataFrame:
-    """For members b of the crowd of a: entries of the key (a, shingle of b outside the crowd's core), as rows (bucket, entries); and rows (a, b, na, nb, both).
+    """For members b of the crowd of a: entries of the key (a, shingle of b outside the crowd's core), as rows (bucket, entries); with `common` also rows (a, b, na, nb, both).
 
     The core is the set of a, and with `common`, a broadcast bitmap of keys, all whose keys are in it: what the bitmap
-    can't tell apart makes a core larger, and any core is right. both: shingles of b in the core.
+    can't tell apart makes a core larger, and any core is right. both: shingles of b in the core, once that is known.
     """
     names = ["bucket", "entries", "a", "b", "na", "nb", "both"]
 
@@ -461,8 +462,9 @@ def _deeper(crowds: DataFrame, sets: DataFrame, buckets: int, common=None) -> Da
                 index.add(np.zeros(len(key), np.int64), key, b[i : i + 1], np.array([len(y)]))
                 if index.held >= GATHER:
                     yield entries()
-            none = [pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, batch.column(0), batch.column(1), *map(pa.array, facts)], names=names)
+            if bits is not None:
+                none = [pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, batch.column(0), batch.column(1), *map(pa.array, facts)], names=names)
         if index.held:
             yield entries()
         del index
@@ -554,10 +556,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     if crowds.limit(1).count():
         links = settle(links.unionByName(_linked(_possible(_bridges(crowds, roots), kinds, bands), sets, bands)), "linked", tasks)
         roots = components(links)
-        told = _common(_deeper(crowds, sets, FINER * partitions).where("bucket is not null"), partitions)
+        # As many buckets as the members' shingles fill.
+        most = crowds.join(kinds.select(F.col("class").alias("b"), "n"), "b").agg(F.sum("n")).first()[0] or 0
+        fill = min(partitions, most // (GATHER // 4) + 1)
+        told = _common(_deeper(crowds, sets, FINER * fill), fill)
         common = spark.sparkContext.broadcast(_bitmap(told.select((F.col("key").bitwiseAND(F.lit(WANTED - 1)) + 1).alias("v"))))
-        deeper = settle(_deeper(crowds, sets, FINER * partitions, common), "deeper", tasks)
-        deep = settle(_candidates(deeper.where("bucket is not null"), bands, partitions), "deeper-candidates", tasks)
+        deeper = settle(_deeper(crowds, sets, FINER * fill, common), "deeper", tasks)
+        deep = settle(_candidates(deeper.where("bucket is not null"), bands, fill), "deeper-candidates", tasks)
         groups = groups.unionByName(of(deep, GROUP))
         some = _rooted(of(deep, STAR, CROWD), roots, "a", "b").where("ra <> rb").select("a", "b")
         some = some.unionByName(_short(deeper.where("a is not null").select("a", "b", "na", "nb", "both"), roots, bands))
