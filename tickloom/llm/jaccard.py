@@ -556,9 +556,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     if crowds.limit(1).count():
         links = settle(links.unionByName(_linked(_possible(_bridges(crowds, roots), kinds, bands), sets, bands)), "linked", tasks)
         roots = components(links)
-        # As many buckets as the members' shingles fill.
-        most = crowds.join(kinds.select(F.col("class").alias("b"), "n"), "b").agg(F.sum("n")).first()[0] or 0
-        fill = min(partitions, most // (GATHER // 4) + 1)
+        # As many buckets as the members' shingles fill, by the mean size of the sets that are members; they only set how many.
+        mean = kinds.join(crowds.select(F.col("b").alias("class")).distinct(), "class", "left_semi").agg(F.avg("n")).first()[0] or 0
+        fill = min(partitions, int(crowds.count() * mean) // (GATHER // 4) + 1)
         told = _common(_deeper(crowds, sets, FINER * fill), fill)
         common = spark.sparkContext.broadcast(_bitmap(told.select((F.col("key").bitwiseAND(F.lit(WANTED - 1)) + 1).alias("v"))))
         deeper = settle(_deeper(crowds, sets, FINER * fill, common), "deeper", tasks)
