@@ -111,6 +111,19 @@ def test_nearest_neighbours_lists_settle(spark):
     assert sum(len(got[k] & set(b.tolist())) for k, b in enumerate(best)) >= 0.97 * best.size
 
 
+def test_nearest_neighbours_over_blocks_in_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FEWEST", 500, raising=False)  # four blocks
+    rng = np.random.default_rng(7)
+    x = np.float32(rng.normal(size=(3000, 24)))
+    spark.sparkContext.setJobGroup("nearest", "op1")
+    try:
+        assert recall(spark, x, range(0, 3000, 30)) >= 0.9
+        # Rounds are within tasks: jobs don't grow with them.
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("nearest")) <= 60
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 # -- 2
 
 def brute_windows(docs, items, width=5, threshold=0.75):

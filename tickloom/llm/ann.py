@@ -1,21 +1,22 @@
-"""Approximate nearest neighbours over a graph built by NN-descent, for largest inner products.
+"""Approximate nearest neighbours over graphs built by NN-descent, for largest inner products.
 
 Vectors are rows of a table (id, coordinates). Equal vectors are one node, so groups of copies don't fill each other's
-neighbour lists. Every node starts with neighbours at random; in each round nodes meet the neighbours of their
-neighbours, in joins on the cluster: each node gathers a bounded number of its neighbours, forward and reverse, with
-their vectors, they are compared with each other, and what improves a list is sent to the node that it belongs to.
+neighbour lists. Nodes are dealt by a hash of their ids into blocks that a task can hold, as few as that allows, and each
+block gets a graph of its own: every node starts with neighbours at random, and in each round nodes meet the neighbours of
+their neighbours (`descent`). All blocks are built side by side, and what is shuffled is each vector once.
 
 To search largest inner products in a graph of nearest points, vectors get one more coordinate that brings all of them
 to the same length; the order of inner products with a query is then the order of distances to it. The coordinate is
 never stored: distances are made in double precision from vectors in 32 bits, so short vectors keep theirs apart.
 
-Tight groups can be islands of the graph. One node of each island takes part in a graph of such nodes, and so on until
+Tight groups can be islands of a graph. One node of each island takes part in a graph of such nodes, and so on until
 all hang together, and these long links join the graph.
 
-Queries search greedily, all at once: each keeps the best nodes that it has met, and in each round those of them not
-yet opened are joined with the graph, whose nodes carry their neighbours' vectors, and scored where they are. A query
-starts at its own node, if it has one, and at nodes drawn from all, from the islands' and from the longest.
-Scores are computed again in double precision from the original vectors before ranks are given.
+Every query searches every block greedily, many queries at once: each keeps the best nodes that it has met, and in each
+round the best of them not yet opened are. A query starts at its own node, in the block that has it, and at nodes drawn
+from all, from the islands' and from the longest. The best of the blocks are the result: as a block holds only its part of
+the nearest, beams are narrower where there are more blocks. Scores are computed again in double precision from the
+original vectors before ranks are given.
 """
 
 from __future__ import annotations
@@ -23,333 +24,247 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.components import components
-from tickloom.llm.scratch import drop, let_go, place, remove, settle
+from tickloom.llm import descent
+from tickloom.llm.bytetext import give_back
+from tickloom.llm.descent import DEGREE
+from tickloom.llm.scratch import drop, let_go, settle
 
-#: Neighbours of a node in the graph, all gathered in a round, and how many of those that it is a neighbour of.
-DEGREE, GATHERED = 24, 12
-#: Nodes that a query keeps, and opens in a round, and entry points that all queries share: at least so many, and more
-#: with the root of the number of nodes.
-BEAM, OPENED, ENTRIES = 320, 64, 512
+#: Nodes that a query keeps in a table of one block, and opens in a round, and entry points of a block: at least so many,
+#: and more with the root of the number of the block's nodes.
+BEAM, OPENED, ENTRIES = 320, 32, 512
 GROWTH = 2.5
-#: A round of NN-descent that changes fewer neighbours than this share of all is the last.
-STILL = 0.01
+#: A beam for a block that holds this share of the nearest is as wide as the share to this power.
+SHARED = 0.4
+#: Nodes of a block and bytes of its vectors in 32 bits, at most; blocks of FEWEST are made to give all tasks work.
+BLOCK, BLOCK_BYTES, FEWEST = 1 << 15, 16 << 20, 1 << 13
+#: Queries that are carried together, and that a task searches for in a block, and that are searched for in one job.
+TOGETHER, ASKED, AT_ONCE = 256, 1 << 15, 1 << 17
 
 
-def _matrix(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.float32).reshape(-1, dim) if len(column) else np.zeros((0, dim), np.float32)
+def _element(df: DataFrame, col: str) -> str:
+    """float where the coordinates are, else double."""
+    return "float" if df.schema[col].dataType.elementType.simpleString() == "float" else "double"
 
 
-def _rest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared lengths of vectors no longer than 1, and the coordinate that brings them to length 1."""
-    n = (x * x).sum(1)
-    return n, np.sqrt(np.maximum(1 - n, 0))
+def usable(vectors: DataFrame, id_col: str, vector_col: str, element: str = "double") -> DataFrame:
+    """(id, vector): rows that take part. Null and zero vectors, and those with null or non-finite components, don't."""
+    # Null and non-finite components differ from themselves less themselves; -0 and 0 are one number.
+    ok = F.col("v").isNotNull() & F.forall("v", lambda x: F.coalesce(x - x == 0, F.lit(False))) & F.exists("v", lambda x: x != 0)
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast(element)).alias("v"))
+    return rows.where(ok).select("id", F.transform("v", lambda x: x + F.lit(0.0).cast(element)).alias("vector"))
 
 
-def nodes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(node, id, vector): rows whose vectors are usable; node is the smallest id of those with an equal vector.
+def nodes(rows: DataFrame) -> DataFrame:
+    """(node, vector, copies) of rows (id, vector): node is the smallest id of those with an equal vector."""
+    found = settle(rows.groupBy("vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
+    # Rows of one id with several vectors: one of these is its node's.
+    if found.select("node").distinct().count() == found.count():
+        return found
+    one = settle(found.groupBy("node").agg(F.min("vector").alias("vector"), F.max("copies").alias("copies")), "nodes")
+    drop(found)
+    return one
 
-    Null and zero vectors, and those with null or non-finite components, take no part.
-    """
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    # Null and non-finite components differ from themselves less themselves; -0 and 0 are one number.
-    usable = F.col("v").isNotNull() & F.forall("v", lambda x: F.coalesce(x - x == 0, F.lit(False))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(usable).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    first = rows.groupBy("v").agg(F.min("id").alias("node"))
-    return rows.join(first, "v").select("node", "id", F.col("v").alias("vector"))
+
+def _blocks(n: int, dim: int, partitions: int) -> int:
+    return max(-(-n // max(2 * DEGREE, min(BLOCK, BLOCK_BYTES // (4 * dim)))), min(partitions, n // FEWEST), 1)
 
 
-def _packed(points: DataFrame, dim: int, longest: float) -> DataFrame:
-    """(node, x): vectors, the longest scaled to length 1, in 32 bits."""
+def _labels(spark: SparkSession, blocks: int) -> list[int]:
+    """Numbers of blocks that a hash exchange deals to as many partitions, one to each."""
+    some = spark.range(64 * blocks).select(F.col("id").cast("int").alias("label"))
+    one = some.groupBy(F.pmod(F.hash("label"), F.lit(blocks)).alias("p")).agg(F.min("label").alias("label")).collect()
+    got = [r["label"] for r in one]
+    return sorted(got + [-1 - k for k in range(blocks - len(got))])
+
+
+def _by_block(packed: DataFrame, blocks: int, seed: int, told, schema: str) -> DataFrame:
+    """told(block, nodes in order, their coordinates as bytes) of every block of packed (node, x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, xs = None, [], []
+
+        def block() -> pa.RecordBatch:
+            node, x = np.concatenate(ids), b"".join(xs)
+            x = np.frombuffer(x, np.uint8).reshape(len(node), -1)
+            order = np.argsort(node)
+            return told(now, node[order], x[order])
+
         for b in batches:
-            x = (np.asarray(b.column(1).flatten(), np.float64).reshape(-1, dim) / longest).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "x"])
+            of = np.asarray(b.column(0))
+            cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))[: len(of)]
+            for a, z in zip(cuts, np.append(cuts[1:], len(of)), strict=True):
+                if now is not None and of[a] != now:
+                    yield block()
+                    ids, xs = [], []
+                now = int(of[a])
+                ids.append(np.asarray(b.column(1))[a:z])
+                xs += [v.as_buffer().to_pybytes() for v in b.column(2).slice(a, z - a)]
+        if ids:
+            yield block()
+        del ids, xs
+        give_back()
+
+    label = _labels(packed.sparkSession, blocks)
+    block = F.array(*map(F.lit, label))[F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(blocks)).cast("int")].alias("block")
+    return packed.select(block, "node", "x").repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, schema)
 
-    return points.select("node", "vector").mapInArrow(run, "node bigint, x binary")
 
+def build_graph(packed: DataFrame, dim: int, seed: int = 3) -> DataFrame:
+    """(node, near, score): the neighbour lists of nodes (node, x: coordinates in 32 bits, no vector longer than 1) in their blocks.
 
-def _start(packed: DataFrame, n: int, seed: int) -> DataFrame:
-    """(node, near, score, fresh): DEGREE other nodes for each node, by position in an order drawn for each."""
-    # Nodes are numbered in blocks: pairs are drawn by joining positions that fixed strides reach, not all pairs.
-    order = packed.select("node").withColumn("h", F.xxhash64("node", F.lit(seed)))
-    parts = order.repartitionByRange("h").sortWithinPartitions("h")
-    parts = settle(parts.select("node", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), "order")
-    begin, at = {}, 0
-    for r in sorted(parts.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")).collect(), key=lambda r: r["p"]):
-        begin[r["p"]] = at - r["m"]
-        at += r["n"]
-    placed = settle(parts.select("node", (F.col("m") + F.create_map(*[F.lit(x) for kv in begin.items() for x in kv])[F.col("p")]).alias("pos")), "placed")
-    rng = np.random.default_rng(seed)
-    strides = sorted({int(x) for x in rng.integers(1, max(2, n), DEGREE * 2)} | set(range(1, min(n, DEGREE))))[: 4 * DEGREE]
-    strides = [int(x) for x in rng.permutation(strides)[: min(DEGREE, max(0, n - 1))]]
-    if not strides:
-        return placed.select("node", F.col("node").alias("near")).where(F.lit(False))
-    there = placed.select("node", F.explode(F.array(*[F.lit(s) for s in strides])).alias("s"), "pos").select("node", ((F.col("pos") + F.col("s")) % n).alias("pos"))
-    return there.join(placed.select(F.col("node").alias("near"), "pos"), "pos").select("node", "near").where("node <> near").distinct()
+    Lists only get better, so the rounds end.
+    """
 
+    def told(block: int, node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        ids, score = descent.descend(x.view(np.float32), seed)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(node, ids.shape[1])), pa.array(node[ids.ravel()]), pa.array(score.ravel())], names=["node", "near", "score"])
 
-def _merged_lists(candidates: DataFrame, partitions: int) -> DataFrame:
-    """Rows (node, near, score, fresh): the DEGREE best of each node, an older entry before its repetition."""
+    blocks = _blocks(packed.count(), dim, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return settle(_by_block(packed, blocks, seed, told, "node bigint, near bigint, score float"), "graph")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [pa.Table.from_batches([b]) for b in batches]
-        if not tables:
-            return
-        t = pa.concat_tables(tables)
-        node, near, score, fresh = (t.column(k).to_numpy() for k in range(4))
-        order = np.lexsort((fresh, near, node))
-        node, near, score, fresh = node[order], near[order], score[order], fresh[order]
-        keep = np.ones(len(node), bool)
-        keep[1:] = (node[1:] != node[:-1]) | (near[1:] != near[:-1])
-        node, near, score, fresh = node[keep], near[keep], score[keep], fresh[keep]
-        order = np.lexsort((near, -score, node))
-        node, near, score, fresh = node[order], near[order], score[order], fresh[order]
-        head = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        rank = np.arange(len(node)) - np.repeat(head, np.diff(np.append(head, len(node))))
-        keep = rank < DEGREE
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node, near, score, fresh)], names=["node", "near", "score", "fresh"])
-
-    return candidates.repartition(partitions, "node").mapInArrow(run, "node bigint, near bigint, score float, fresh boolean")
-
-
-def _meet(lists: DataFrame, packed: DataFrame, dim: int, partitions: int, seed: int) -> DataFrame:
-    """Candidates (node, near, score, fresh) from one round: neighbours of each node compared with each other."""
-    forward = lists.select("node", "near", "fresh", F.lit(True).alias("own"))
-    reverse = lists.select(F.col("near").alias("node"), F.col("node").alias("near"), "fresh", F.lit(False).alias("own"))
-    both = forward.unionByName(reverse)
-    # A node's own list comes whole, as its entries are not fresh afterwards; of a popular node's reverse side a bounded, drawn number.
-    draw = F.xxhash64("node", "near", F.lit(seed))
-    w = Window.partitionBy("node", "own").orderBy((~F.col("fresh")).cast("int"), draw)
-    chosen = both.groupBy("node", "near").agg(F.max("fresh").alias("fresh"), F.max("own").alias("own")).withColumn("r", F.row_number().over(w)).where(F.col("own") | (F.col("r") <= GATHERED))
-    # What a list doesn't take is not sent to it.
-    worst = lists.groupBy(F.col("node").alias("near")).agg(F.when(F.count(F.lit(1)) >= DEGREE, F.min("score")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
-    carried = chosen.join(packed.withColumnRenamed("node", "near").join(worst, "near"), "near").select("node", "near", "fresh", "x", "least")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [pa.Table.from_batches([b]) for b in batches]
-        if not tables:
-            return
-        t = pa.concat_tables(tables).combine_chunks()
-        node, near, fresh, least = (t.column(k).to_numpy() for k in (0, 1, 2, 4))
-        x = _matrix(t.column(3).combine_chunks(), dim)
-        order = np.argsort(node, kind="stable")
-        cuts = np.append(np.flatnonzero(np.append(True, np.diff(node[order]) != 0)), len(node))
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            idx = order[a:b]
-            if len(idx) < 2:
-                continue
-            v = x[idx].astype(np.float64)
-            n, r = _rest(v)
-            s = (2 * (v @ v.T) - n[:, None] - n[None, :] - (r[:, None] - r[None, :]) ** 2).astype(np.float32)
-            s[~(fresh[idx][:, None] | fresh[idx][None, :])] = -np.inf
-            np.fill_diagonal(s, -np.inf)
-            i, j = np.nonzero(s > least[idx][:, None])
-            out.append((near[idx[i]], near[idx[j]], s[i, j]))
-        if out:
-            a, b, s = (np.concatenate(z) for z in zip(*out, strict=True))
-            order = np.lexsort((b, -s, a))
-            a, b, s = a[order], b[order], s[order]
-            keep = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-            a, b, s = a[keep], b[keep], s[keep]
-            # A list takes no more than DEGREE.
-            head = np.flatnonzero(np.append(True, a[1:] != a[:-1]))[: len(a)]
-            keep = np.arange(len(a)) - np.repeat(head, np.diff(np.append(head, len(a)))) < DEGREE
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(s[keep]), pa.array(np.ones(int(keep.sum()), bool))], names=["node", "near", "score", "fresh"])
-
-    return carried.repartition(partitions, "node").mapInArrow(run, "node bigint, near bigint, score float, fresh boolean")
-
-
-def _scored(pairs: DataFrame, packed: DataFrame, dim: int) -> DataFrame:
+def _graphs(points: DataFrame, kind: type, longest: float, blocks: int, entries: int, seed: int) -> DataFrame:
+    """(block, node, x, around, entry) of each block: its nodes, original coordinates, neighbours and entry points."""
+
+    def told(block: int, node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        x = x.view(kind)
+        scaled = (x / longest).astype(np.float32)
+        around, heads = descent.graph(scaled, seed)
+        rng = np.random.default_rng(seed)
+        # Entry points: a bounded number of nodes, drawn from all and from the islands', and the longest, which have the
+        # largest inner products with many.
+        far = np.argsort(-(scaled.astype(np.float64) ** 2).sum(1), kind="stable")[:entries]
+        entry = np.unique(np.concatenate([rng.permutation(len(node))[:entries], rng.permutation(heads)[:entries], far]))
+        blobs = [node.astype(np.int64), x, around.astype(np.int32), entry.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in blobs)], names=["block", "node", "x", "around", "entry"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (_matrix(b.column(k), dim).astype(np.float64) for k in (2, 3))
-            s = -((x - y) ** 2).sum(1) - (_rest(x)[1] - _rest(y)[1]) ** 2
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.astype(np.float32)), pa.array(np.ones(b.num_rows, bool))], names=["node", "near", "score", "fresh"])
+            x = np.asarray(b.column(1).flatten(), kind).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "x"])
 
-    left, right = packed.withColumnRenamed("x", "a"), packed.select(F.col("node").alias("near"), F.col("x").alias("b"))
-    return pairs.join(left, "node").join(right, "near").select("node", "near", "a", "b").mapInArrow(run, "node bigint, near bigint, score float, fresh boolean")
+    packed = points.select("node", "vector").mapInArrow(run, "node bigint, x binary")
+    return _by_block(packed, blocks, seed, told, "block int, node binary, x binary, around binary, entry binary")
 
 
-def build_graph(packed: DataFrame, dim: int, seed: int = 3) -> DataFrame:
-    """(node, near, score): the neighbour graph, by NN-descent. Lists only get better, so the rounds end."""
-    partitions = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n, k = packed.count(), 0
-    lists = settle(_merged_lists(_scored(_start(packed, n, seed), packed, dim), partitions), "graph0")
-    while True:
-        found = _meet(lists, packed, dim, partitions, seed + k)
-        new = settle(_merged_lists(lists.withColumn("fresh", F.lit(False)).unionByName(found), partitions), f"graph{k + 1}")
-        changed = new.agg(F.sum(F.col("fresh").cast("long")).alias("c"), F.count(F.lit(1)).alias("n")).first()
-        drop(lists)
-        lists, k = new, k + 1
-        let_go(packed.sparkSession)
-        if not changed["n"] or (changed["c"] or 0) < STILL * changed["n"]:
-            break
-    return lists
-
-
-def joined_islands(lists: DataFrame, packed: DataFrame, dim: int, seed: int = 3) -> tuple[list[DataFrame], DataFrame | None]:
-    """Graphs that together are in one piece: that of all nodes, that of one node of each of its islands, and so on.
-
-    Also the nodes of the second (node, x), None if the first is in one piece. An island has more nodes than a list, so
-    there are few graphs.
-    """
-    levels, heads, left = [lists], None, packed
-    while True:
-        inner = components(levels[-1].select(F.col("node").alias("a"), F.col("near").alias("b")))
-        left = settle(left.join(inner.select("node"), "node", "left_anti"), "heads")
-        if left.count() < 2:
-            return levels, heads
-        heads = left if heads is None else heads
-        levels.append(build_graph(left, dim, seed))
+def _best(node: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest scores of each row, ties to smaller nodes; what is no node scores minus infinity."""
+    order = np.argsort(node, axis=1, kind="stable")
+    order = np.take_along_axis(order, np.argsort(-np.take_along_axis(score, order, 1), axis=1, kind="stable"), 1)[:, :most]
+    return np.take_along_axis(node, order, 1), np.take_along_axis(score, order, 1)
 
 
-def fat_graph(levels: list[DataFrame], packed: DataFrame, partitions: int) -> tuple[DataFrame, str, str]:
-    """(node, ids, xs): each node's neighbours, forward and the best of the reverse ones, with their vectors.
+def _search_blocks(graphs: DataFrame, chunks: DataFrame, slices: list[int], blocks: int, partitions: int, kind: type, width: int, longest: float, beam: int, opened: int, k: int) -> DataFrame:
+    """(query, node, score): the k + 1 best nodes that queries of these slices find in all blocks."""
 
-    It is written in buckets by node, so that rounds of a search shuffle what they ask for and never the graph.
-    Also the table's name and place, to drop it by.
-    """
-    kept = None
-    for lists in levels:
-        reverse = lists.select(F.col("near").alias("node"), F.col("node").alias("near"), "score")
-        both = lists.select("node", "near", "score").unionByName(reverse).groupBy("node", "near").agg(F.max("score").alias("score"))
-        w = Window.partitionBy("node").orderBy(F.desc("score"), "near")
-        best = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * DEGREE).select("node", "near")
-        kept = best if kept is None else kept.unionByName(best)
-    if len(levels) > 1:
-        kept = kept.distinct()
-    carried = kept.join(packed.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.collect_list(F.struct("near", "x")).alias("l"))
-    out = carried.select("node", F.col("l.near").alias("ids"), F.col("l.x").alias("xs")).repartition(partitions, "node")
-    path = place(packed.sparkSession, "fat")
-    name = path.rsplit("/", 1)[1].replace("-", "_")
-    out.write.bucketBy(partitions, "node").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return packed.sparkSession.table(name), name, path
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = x = scaled = around = entry = None
+        for b in batches:
+            for i, chunk in enumerate(b.column(2).to_pylist()):
+                if chunk < 0:
+                    node, x, around, entry = (np.frombuffer(b.column(3 + j)[i].as_buffer(), t) for j, t in enumerate((np.int64, kind, np.int32, np.int32)))
+                    x, around = x.reshape(len(node), width), around.reshape(len(node), -1)
+                    scaled = (x / longest).astype(np.float32)
+                    continue
+                query, home = np.asarray(b.column(7)[i].values), np.asarray(b.column(9)[i].values)
+                q = np.asarray(b.column(8)[i].values.flatten(), np.float64).reshape(len(query), width)
+                at = np.minimum(np.searchsorted(node, home), len(node) - 1)
+                at = np.where(node[at] == home, at, -1)
+                found, _ = descent.search(scaled, around, entry, q.astype(np.float32), at, beam, opened, k + 8)
+                score = np.empty(found.shape)
+                for a in range(0, len(q), 64):  # products summed one after another, in double precision
+                    score[a : a + 64] = np.cumsum(x[found[a : a + 64]].astype(np.float64) * q[a : a + 64, None, :], axis=2)[:, :, -1]
+                score[found < 0] = -np.inf
+                ids, score = _best(np.where(found < 0, np.iinfo(np.int64).max, node[found]), score, k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), b.column(0).slice(i, 1), *(pa.array([v.tobytes()], pa.binary()) for v in (query, ids, score))], names=["chunk", "block", "query", "node", "score"])
+        del node, x, scaled, around, entry
+        give_back()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, query, ids, score = None, None, None, None
+
+        def rows() -> pa.RecordBatch:
+            there = score > -np.inf
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(query, there.sum(1))), pa.array(ids[there]), pa.array(score[there])], names=["query", "node", "score"])
+
+        for b in batches:
+            for i, chunk in enumerate(b.column(0).to_pylist()):
+                own, n, s = (np.frombuffer(b.column(2 + j)[i].as_buffer(), t) for j, t in enumerate((np.int64, np.int64, np.float64)))
+                n, s = n.reshape(len(own), -1), s.reshape(len(own), -1)
+                if chunk != now:
+                    if now is not None:
+                        yield rows()
+                    now, query, ids, score = chunk, own, n, s
+                else:
+                    ids, score = _best(np.concatenate([ids, n], 1), np.concatenate([score, s], 1), k + 1)
+        if now is not None:
+            yield rows()
+
+    vectors = chunks.schema["q"].dataType.simpleString()
+    left = graphs.select("block", F.explode(F.array(*map(F.lit, slices))).alias("slice"), F.lit(-1).alias("chunk"), "node", "x", "around", "entry", *(F.lit(None).cast(t).alias(c) for c, t in (("query", "array<bigint>"), ("q", vectors), ("home", "array<bigint>"))))
+    asked = chunks.where(F.col("slice").isin(slices)).select(F.explode(F.array(*map(F.lit, _labels(graphs.sparkSession, blocks)))).alias("block"), "slice", "chunk", *(F.lit(None).cast("binary").alias(c) for c in ("node", "x", "around", "entry")), "query", "q", "home")
+    met = left.unionByName(asked).repartition(blocks * len(slices), "block", "slice").sortWithinPartitions("block", "slice", "chunk")
+    found = met.mapInArrow(run, "chunk int, block int, query binary, node binary, score binary")
+    return found.repartition(partitions, "chunk").sortWithinPartitions("chunk", "block").mapInArrow(merged, "query bigint, node bigint, score double")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int | None = None, opened: int | None = None, seed: int = 3) -> DataFrame:
     """(query_id, rank, id, score): each query's k nearest rows other than its own, by inner product.
 
     queries: rows of the same columns. Of a group of equal vectors the smallest ids come first; equal scores are ordered
-    by id. A query with an unusable vector gives no rows; repeated ids count once. beam, opened: nodes that a query keeps,
-    and opens in a round; by default they grow with the table.
+    by id. A query with an unusable vector gives no rows; repeated ids count once. beam, opened: nodes that a query keeps
+    of a block, and opens in a round; by default they grow with the block.
     """
     spark = vectors.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = settle(nodes(vectors, id_col, vector_col), "nodes")
-    points = settle(own.where("node = id").dropDuplicates(["node"]).select("node", "vector"), "points")
-    stats = points.agg(F.max(F.size("vector")).alias("d"), F.min(F.size("vector")).alias("e"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    element, told = _element(vectors, vector_col), _element(queries, vector_col)
+    rows = usable(vectors, id_col, vector_col, element)
+    points = nodes(rows)
+    double = lambda v: F.transform(v, lambda x: x.cast("double"))
+    stats = points.agg(F.max(F.size("vector")).alias("d"), F.min(F.size("vector")).alias("e"), F.max(F.aggregate(double("vector"), F.lit(0.0), lambda a, x: a + x * x)).alias("s"), F.count(F.lit(1)).alias("n"), F.max("copies").alias("c")).first()
     if not stats["n"]:
-        return own.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id"), F.lit(0.0).alias("score")).where(F.lit(False))
+        return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id"), F.lit(0.0).alias("score")).where(F.lit(False))
     if stats["d"] != stats["e"]:
         raise ValueError("vectors differ in length")
-    width, longest = stats["d"], float(stats["s"]) ** 0.5
-    beam = beam or max(BEAM, int(GROWTH * stats["n"] ** 0.5))
+    width, longest, kind = stats["d"], float(stats["s"]) ** 0.5, np.float32 if element == "float" else np.float64
+    blocks = _blocks(stats["n"], width, partitions)
+    share = -(-k // blocks) / k
+    beam = beam or int(max(BEAM, GROWTH * (stats["n"] / blocks) ** 0.5) * share**SHARED)
+    beam = max(beam, k + 8)
     opened = opened or max(OPENED, beam // 5)
-    packed = settle(_packed(points, width, longest), "packed")
-    levels, heads = joined_islands(build_graph(packed, width, seed), packed, width, seed)
-    graph, graph_name, graph_path = fat_graph(levels, packed, partitions)
-    let_go(packed.sparkSession)
-
-    asked = settle(nodes(queries, id_col, vector_col).select(F.col("id").alias("query"), F.col("vector").alias("q")).dropDuplicates(["query"]), "asked")
-    # Entry points: a bounded number of nodes, drawn by hash from all and from the islands', and the longest, which have
-    # the largest inner products with many. They come to the driver and go to all tasks.
-    entries, drawn = max(ENTRIES, 2 * beam), F.xxhash64("node", F.lit(seed))
-    entry = {r["node"]: bytes(r["x"]) for df in (packed, heads) if df is not None for r in df.orderBy(drawn).limit(entries).collect()}
-    far = points.orderBy(F.desc(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), "node").limit(entries).select("node")
-    entry |= {r["node"]: bytes(r["x"]) for r in packed.join(far, "node").collect()}
-    entry_ids = np.array(list(entry), np.int64)
-    entry_x = np.frombuffer(b"".join(entry.values()), np.float32).reshape(-1, width)
-    shared = spark.sparkContext.broadcast((entry_ids, entry_x))
-    state_type = "query bigint, x binary, ids binary, scores binary, done binary"
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = shared.value
-        for b in batches:
-            q = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, width)
-            s = q.astype(np.float32) @ x.T
-            best = np.argsort(-s, axis=1, kind="stable")[:, : max(1, opened - 1)]
-            rows = []
-            for i, r, v, home in zip(best, np.take_along_axis(s, best, 1), q, b.column(2).to_pylist(), strict=True):
-                n = ids[i]
-                if home is not None and home not in n:
-                    n, r = np.append(n, home), np.append(r, np.float32(v @ v / longest))
-                    order = np.argsort(-r, kind="stable")
-                    n, r = n[order], r[order]
-                rows.append((n.tobytes(), r.astype(np.float32).tobytes(), np.zeros(len(n), bool).tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.astype(np.float32).tobytes() for v in q], pa.binary()), *(pa.array([r[j] for r in rows], pa.binary()) for j in range(3))], names=["query", "x", "ids", "scores", "done"])
-
-    # A query whose vector is in the table starts at its own node too.
-    homes = asked.join(points.withColumnRenamed("vector", "q"), "q", "left").select("query", "q", "node")
-    state = settle(homes.mapInArrow(begin, state_type), "beam")
-
-    def frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The best nodes of each query that are not opened yet, with the score that is needed to stay in its beam."""
-        for b in batches:
-            out = []
-            for q, x, ids, s, d in zip(b.column(0).to_pylist(), *(b.column(j) for j in range(1, 5)), strict=True):
-                ids, s, d = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(s.as_buffer(), np.float32), np.frombuffer(d.as_buffer(), bool)
-                go = np.flatnonzero(~d)[:opened]
-                least = float(s[-1]) if len(s) >= beam else -np.inf
-                out += [(q, int(n), x.as_buffer().to_pybytes(), least) for n in ids[go]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.float32()], strict=True)], names=["query", "node", "x", "least"])
-
-    def opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out_i, out_s = [], []
-            for x, least, ids, xs in zip(b.column(1), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
-                q = np.frombuffer(x.as_buffer(), np.float32)
-                n = np.asarray(ids.values)
-                s = _matrix(xs.values, width) @ q
-                ok = s > least
-                out_i.append(n[ok].tobytes())
-                out_s.append(s[ok].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out_i, pa.binary()), pa.array(out_s, pa.binary())], names=["query", "ids", "scores"])
-
-    def merged(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, s, d = np.frombuffer(left["ids"].iloc[0], np.int64), np.frombuffer(left["scores"].iloc[0], np.float32), np.frombuffer(left["done"].iloc[0], bool).copy()
-        d[np.flatnonzero(~d)[:opened]] = True
-        new_i = np.frombuffer(b"".join(right["ids"]), np.int64)
-        new_s = np.frombuffer(b"".join(right["scores"]), np.float32)
-        ids, s, d = np.concatenate([ids, new_i]), np.concatenate([s, new_s]), np.concatenate([d, np.zeros(len(new_i), bool)])
-        # What was in the beam stands first among its repetitions; nodes that fell out score too low to come back.
-        _, once = np.unique(ids, return_index=True)
-        ids, s, d = ids[once], s[once], d[once]
-        top = np.lexsort((ids, -s))[:beam]
-        return pd.DataFrame({"query": left["query"].iloc[:1], "x": left["x"].iloc[:1], "ids": [ids[top].tobytes()], "scores": [s[top].tobytes()], "done": [d[top].tobytes()]})
-
-    while True:
-        ahead = state.mapInArrow(frontier, "query bigint, node bigint, x binary, least float")
-        got = ahead.join(graph, "node").select("query", "x", "least", "ids", "xs").mapInArrow(opening, "query bigint, ids binary, scores binary")
-        new = settle(state.groupBy("query").cogroup(got.groupBy("query")).applyInPandas(merged, state_type), "beam")
-        drop(state)
-        state = new
-        let_go(packed.sparkSession)
-        if not state.where(F.expr("instr(hex(done), '00') > 0")).limit(1).count():
-            break
-
-    spark.sql(f"drop table {graph_name}")
-    remove(spark, graph_path)
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = 2 * k + 8
-        for b in batches:
-            ids = [np.frombuffer(x.as_buffer(), np.int64)[:most] for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), [len(i) for i in ids])), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], names=["query", "node"])
+    graphs = settle(_graphs(points, kind, longest, blocks, max(ENTRIES, 2 * beam), seed), "graphs")
+    let_go(spark)
+
+    # A query whose vector is in the table starts at its own node too; nodes are told by hashes here, as any node may be a start.
+    named = lambda v: F.xxhash64(double(v)).alias("h")
+    asked = usable(queries, id_col, vector_col, told).select(F.col("id").alias("query"), F.col("vector").alias("q")).dropDuplicates(["query"])
+    asked = settle(asked.select("query", "q", named("q")), "asked")
+    homes = points.select(named("vector"), "node").groupBy("h").agg(F.min("node").alias("node"))
+    homes = settle(asked.select("query", "h").join(homes, "h", "left").select("query", F.coalesce("node", F.lit(-(1 << 63))).alias("home")), "homes")
+    n = homes.count()
+    chunk = F.pmod(F.xxhash64("query", F.lit(seed)), F.lit(-(-n // TOGETHER) or 1)).cast("int").alias("chunk")
+    slices = max(min(-(-n // TOGETHER), -(-partitions // blocks)), -(-n // ASKED), 1)
+    packed = asked.join(homes, "query").groupBy(chunk).agg(F.collect_list(F.struct("query", "q", "home")).alias("l"))
+    chunks = settle(packed.select("chunk", (F.col("chunk") % slices).alias("slice"), F.col("l.query").alias("query"), F.col("l.q").alias("q"), F.col("l.home").alias("home")), "chunks")
+    found = None
+    step = max(1, slices * AT_ONCE // max(n, 1))
+    for a in range(0, slices, step):
+        part = settle(_search_blocks(graphs, chunks, list(range(a, min(slices, a + step))), blocks, partitions, kind, width, longest, beam, opened, k), "found")
+        found = part if found is None else found.unionByName(part)
+        let_go(spark)
+    drop(graphs)
 
-    ends = state.select("query", "ids").mapInArrow(listed, "query bigint, node bigint")
-    exact = ends.join(points, "node").join(asked, "query").select("query", "node", F.aggregate(F.zip_with("vector", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
     # Of equal vectors no more than k + 1 rows can be among the nearest, the smallest ids (one may be the query's own).
-    w = Window.partitionBy("node").orderBy("id")
-    members = own.select("node", "id").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select("node", "id")
-    rows = exact.join(members, "node").where("id <> query")
+    members = points.select("node", F.col("node").alias("id"))
+    if stats["c"] > 1:
+        w = Window.partitionBy("node").orderBy("id")
+        copies = rows.join(points.where("copies > 1").select("node", "vector"), "vector").select("node", "id").distinct()
+        copies = copies.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select("node", "id")
+        members = points.where("copies = 1").select("node", F.col("node").alias("id")).unionByName(copies)
+    near = found.join(members, "node").where("id <> query")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "id", "score")
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "id", "score")
