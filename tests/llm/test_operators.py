@@ -417,6 +417,22 @@ def brute_components(rows):
     return sorted((str(i), len(sets[k]), str(least.get(find(k)))) for k, (i, *_) in enumerate(rows))
 
 
+@pytest.mark.parametrize("buckets, most, bytes_each", [(1, 60_000, 10), (400, 60_000, 17), (400, 70_000, 20)])
+def test_index_entries_take_few_bytes(buckets, most, bytes_each):
+    """Whether classes of a blob have many keys or one, and however large they are, entries come back as they went in."""
+    rng = np.random.default_rng(3)
+    keys, who = rng.integers(0, 1 << 64, 100_000, np.uint64), rng.integers(0, 5000, 100_000)
+    ids, sizes = rng.integers(-(1 << 63), 1 << 63, 5000), rng.integers(1, most + 1, 5000)
+    sizes[0] = most
+    index = jaccard._Index(buckets)
+    index.add(who, keys, ids, sizes)
+    blobs = [b.as_py() for b in index.handed()[1]]
+    got = np.stack([np.concatenate([np.asarray(jaccard._unpacked(b)[k]).astype(np.int64) for b in blobs]) for k in range(3)], 1)
+    want = np.stack([(keys >> np.uint64(16)).astype(np.int64), ids[who], sizes[who]], 1)
+    assert (got[np.lexsort(got.T)] == want[np.lexsort(want.T)]).all()
+    assert sum(map(len, blobs)) <= bytes_each * len(keys)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ngram_join(spark, seed):
     rnd = random.Random(seed)

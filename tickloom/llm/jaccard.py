@@ -196,7 +196,10 @@ def _summed(counters: DataFrame) -> np.ndarray:
 
 
 class _Index:
-    """Index entries that a task gathers, and hands on by bucket: blobs of (48-bit keys, numbers into the classes of the blob, classes, sizes)."""
+    """Index entries that a task gathers, and hands on by bucket: blobs of (classes, sizes, 48-bit keys, numbers into the classes).
+
+    Where entries of a blob share few classes, as with many buckets, there are no numbers, and a class and size to each key.
+    """
 
     def __init__(self, buckets: int) -> None:
         self.buckets = buckets
@@ -225,7 +228,12 @@ class _Index:
             own, back = np.unique(v, return_inverse=True)
             bytes6 = np.ascontiguousarray(k.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
             back = back.astype(np.uint16 if len(own) <= 65536 else np.uint32)
-            blobs.append(b"".join([np.array([len(k), len(own)], np.int64).tobytes(), c[own].tobytes(), n[own].astype(np.int32).tobytes(), bytes6, back.tobytes()]) if len(k) else None)
+            size = np.dtype(np.uint16 if n[own].max(initial=0) < 65536 else np.int32)
+            plain = (len(k) - len(own)) * (8 + size.itemsize) <= back.nbytes
+            if plain:
+                own, back = v, back[:0]
+            head = np.array([len(k), len(own), plain, size.itemsize], np.int64)
+            blobs.append(b"".join([head.tobytes(), c[own].tobytes(), n[own].astype(size).tobytes(), bytes6, back.tobytes()]) if len(k) else None)
         some = [b for b, x in enumerate(blobs) if x is not None]
         return [pa.array(some, pa.int32()), pa.array([blobs[b] for b in some], pa.binary())]
 
@@ -260,14 +268,16 @@ def _pass_two(rows: DataFrame, width: int, bands: Bands, shared, hard: frozenset
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(blob, np.int64, 2)
-    at = 16
+    n, m, plain, width = map(int, np.frombuffer(blob, np.int64, 4))
+    at = 32
     c = np.frombuffer(blob, np.int64, m, at)
-    s = np.frombuffer(blob, np.int32, m, at + 8 * int(m))
-    at += 12 * int(m)
-    wide = np.zeros((int(n), 8), np.uint8)
+    s = np.frombuffer(blob, np.uint16 if width == 2 else np.int32, m, at + 8 * m).astype(np.int32)
+    at += (8 + width) * m
+    wide = np.zeros((n, 8), np.uint8)
     wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(-1, 6)
-    back = np.frombuffer(blob, np.uint16 if m <= 65536 else np.uint32, n, at + 6 * int(n))
+    if plain:
+        return wide.view("<u8")[:, 0], c, s
+    back = np.frombuffer(blob, np.uint16 if m <= 65536 else np.uint32, n, at + 6 * n)
     return wide.view("<u8")[:, 0], c[back], s[back]
 
 
@@ -548,6 +558,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     sets = fetched(ends(near).unionByName(ends(crowds)))
     let_go(spark)
     links = settle(_linked(near, sets, bands), "linked", tasks)
+    let_go(spark)
     roots = components(links)
     # What is still apart in small groups, and what crowds' deeper keys and short sets give.
     groups, some = of(found, GROUP), None
@@ -555,13 +566,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     crowds = settle(crowds.join(apart, "a", "left_semi"), "apart", tasks)
     if crowds.limit(1).count():
         links = settle(links.unionByName(_linked(_possible(_bridges(crowds, roots), kinds, bands), sets, bands)), "linked", tasks)
+        let_go(spark)
         roots = components(links)
         # As many buckets as the members' shingles fill, by the mean size of the sets that are members; they only set how many.
         mean = kinds.join(crowds.select(F.col("b").alias("class")).distinct(), "class", "left_semi").agg(F.avg("n")).first()[0] or 0
         fill = min(partitions, int(crowds.count() * mean) // (GATHER // 4) + 1)
         told = _common(_deeper(crowds, sets, FINER * fill), fill)
         common = spark.sparkContext.broadcast(_bitmap(told.select((F.col("key").bitwiseAND(F.lit(WANTED - 1)) + 1).alias("v"))))
+        let_go(spark)
         deeper = settle(_deeper(crowds, sets, FINER * fill, common), "deeper", tasks)
+        let_go(spark)
         deep = settle(_candidates(deeper.where("bucket is not null"), bands, fill), "deeper-candidates", tasks)
         groups = groups.unionByName(of(deep, GROUP))
         some = _rooted(of(deep, STAR, CROWD), roots, "a", "b").where("ra <> rb").select("a", "b")
