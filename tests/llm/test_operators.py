@@ -433,6 +433,32 @@ def test_index_entries_take_few_bytes(buckets, most, bytes_each):
     assert sum(map(len, blobs)) <= bytes_each * len(keys)
 
 
+@pytest.mark.parametrize("buckets", [1, 48, 400])
+def test_index_entries_of_texts_take_no_more_bytes_in_more_buckets(spark, buckets):
+    rnd = random.Random(9)
+    df = frame(spark, [(k, prose(rnd, 200), "a") for k in range(1000)]).coalesce(1).withColumnRenamed("doc_id", "id")
+    shared = spark.sparkContext.broadcast(np.zeros(jaccard.SKETCH, np.uint16))
+    blobs = [r["entries"] for r in jaccard._pass_two(df, 5, jaccard.Bands(3, 4), shared, frozenset(), buckets).collect()]
+    assert sum(map(len, blobs)) <= 10 * sum(len(jaccard._unpacked(b)[0]) for b in blobs)
+
+
+@pytest.mark.parametrize("left_out", [56, 61])
+def test_ngram_join_of_classes_with_one_short_name(spark, monkeypatch, left_out):
+    monkeypatch.setattr(jaccard, "LEFT_OUT", left_out)
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    rnd = random.Random(10)
+    rows, passage = corpus(rnd, 40), prose(rnd, 60)
+    base = prose(rnd, 100).split()
+    for k in range(60):
+        w = list(base)
+        for _ in range(rnd.randrange(1, 7)):
+            w[rnd.randrange(len(w))] = rnd.choice(SYLLABLES)
+        rows.append((2000 + k, " ".join(w), "a"))
+    rows += [(3000 + k, f"{passage} {prose(rnd, rnd.randint(8, 30))}", "a") for k in range(30)]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.near_duplicates(frame(spark, rows)).collect())
+    assert got == brute_components(rows)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ngram_join(spark, seed):
     rnd = random.Random(seed)

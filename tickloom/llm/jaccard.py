@@ -44,6 +44,8 @@ BRIDGES = 4
 FINER = 4
 #: Counters that estimate how many sets share a segment; they only order segments.
 SKETCH = 1 << 22
+#: Bits of a class that index entries leave out. Classes with equal short names are told apart when candidates get their sketches.
+LEFT_OUT = 24
 #: Entries that a task gathers before it hands them on.
 GATHER = 1 << 20
 #: Bytes of text that are shingled at once.
@@ -195,10 +197,25 @@ def _summed(counters: DataFrame) -> np.ndarray:
     return out
 
 
+def _narrow(x: np.ndarray) -> tuple[int, bytes]:
+    """(bytes that the largest number needs, none for zero; all numbers in so many)."""
+    x = np.ascontiguousarray(x, "<i8").view("<u8")
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return width, x.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _wide(blob: bytes, n: int, width: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(n, width)
+    return out.view("<u8")[:, 0]
+
+
 class _Index:
     """Index entries that a task gathers, and hands on by bucket: blobs of (classes, sizes, 48-bit keys, numbers into the classes).
 
-    Where entries of a blob share few classes, as with many buckets, there are no numbers, and a class and size to each key.
+    Keys are sorted, so that a blob has their lower 32 bits and how many have each value above. Where entries of a blob
+    share few classes, as with many buckets, there are no numbers, and a class and size to each key. So an entry's bytes
+    hardly depend on the number of buckets.
     """
 
     def __init__(self, buckets: int) -> None:
@@ -225,21 +242,25 @@ class _Index:
         cut = np.searchsorted(key, np.array([(b << 48) // self.buckets for b in range(1, self.buckets)], np.uint64))
         blobs = []
         for k, v in zip(np.split(key, cut), np.split(w, cut), strict=True):
+            if not len(k):
+                blobs.append(None)
+                continue
             own, back = np.unique(v, return_inverse=True)
-            bytes6 = np.ascontiguousarray(k.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            back = back.astype(np.uint16 if len(own) <= 65536 else np.uint32)
-            size = np.dtype(np.uint16 if n[own].max(initial=0) < 65536 else np.int32)
-            plain = (len(k) - len(own)) * (8 + size.itemsize) <= back.nbytes
-            if plain:
-                own, back = v, back[:0]
-            head = np.array([len(k), len(own), plain, size.itemsize], np.int64)
-            blobs.append(b"".join([head.tobytes(), c[own].tobytes(), n[own].astype(size).tobytes(), bytes6, back.tobytes()]) if len(k) else None)
+            (ids, each), (wide, size), (number, back) = _narrow(c[own]), _narrow(n[own]), _narrow(back)
+            if (len(k) - len(own)) * (ids + wide) <= len(back):
+                own, number, back = v, 0, b""
+                each, size = _narrow(c[own])[1], _narrow(n[own])[1]
+            above = (k >> np.uint64(32)).astype(np.int64)
+            many, times = _narrow(np.bincount(above - above[0]))
+            head = np.array([len(k), len(own), above[0], above[-1] - above[0] + 1], "<u4").tobytes() + bytes([ids, wide, number, many])
+            blobs.append(b"".join([head, each, size, back, times, k.astype("<u4").tobytes()]))
         some = [b for b, x in enumerate(blobs) if x is not None]
         return [pa.array(some, pa.int32()), pa.array([blobs[b] for b in some], pa.binary())]
 
 
 def _pass_two(rows: DataFrame, width: int, bands: Bands, shared, hard: frozenset, buckets: int) -> DataFrame:
-    """Index entries (bucket, entries) of all sets."""
+    """Index entries (bucket, entries) of all sets: short names of their classes, and no sizes, which candidates get with their sketches."""
+    left_out = np.uint64(LEFT_OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, index = Powers(), _Index(buckets)
@@ -256,7 +277,7 @@ def _pass_two(rows: DataFrame, width: int, bands: Bands, shared, hard: frozenset
                     once.sort()
                     pick = np.concatenate([np.arange(at[i], at[i + 1]) for i in once])
                     at, tokens, name = np.concatenate([[0], np.cumsum(np.diff(at)[once])]), tokens[pick], name[once]
-                index.add(*chosen(tokens, at, bands, shared.value, hard), name, np.diff(at))
+                index.add(*chosen(tokens, at, bands, shared.value, hard), (name.view(np.uint64) >> left_out).view(np.int64), np.zeros(len(name), np.int64))
                 if index.held >= GATHER:
                     yield pa.RecordBatch.from_arrays(index.handed(), names=["bucket", "entries"])
         if index.held:
@@ -268,17 +289,14 @@ def _pass_two(rows: DataFrame, width: int, bands: Bands, shared, hard: frozenset
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m, plain, width = map(int, np.frombuffer(blob, np.int64, 4))
-    at = 32
-    c = np.frombuffer(blob, np.int64, m, at)
-    s = np.frombuffer(blob, np.uint16 if width == 2 else np.int32, m, at + 8 * m).astype(np.int32)
-    at += (8 + width) * m
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(-1, 6)
-    if plain:
-        return wide.view("<u8")[:, 0], c, s
-    back = np.frombuffer(blob, np.uint16 if m <= 65536 else np.uint32, n, at + 6 * n)
-    return wide.view("<u8")[:, 0], c[back], s[back]
+    n, m, low, values = map(int, np.frombuffer(blob, "<u4", 4))
+    widths, at, cols = np.frombuffer(blob, np.uint8, 4, 16).tolist(), 20, []
+    for count, width in zip((m, m, n if m < n else 0, values), widths, strict=True):
+        cols.append(_wide(blob, count, width, at))
+        at += count * width
+    c, s, back, times = cols[0].view(np.int64), cols[1].astype(np.int32), cols[2].view(np.int64), cols[3].view(np.int64)
+    key = np.repeat(np.arange(low, low + values, dtype=np.uint64) << np.uint64(32), times) | np.frombuffer(blob, "<u4", n, at)
+    return (key, c[back], s[back]) if m < n else (key, c, s)
 
 
 def _grouped(got: list) -> tuple[np.ndarray, ...]:
@@ -325,7 +343,8 @@ def _candidates(entries: DataFrame, bands: Bands, partitions: int) -> DataFrame:
     """Rows (kind, a, b) of the classes that share keys.
 
     STAR: the first class of a group and another; CROWD: the same, of a group of more than FEW; GROUP: the name of a
-    group of 3 to FEW, and a class of it. So rows grow as the entries do, whatever the sizes of groups.
+    group of 3 to FEW, and a class of it. So rows grow as the entries do, whatever the sizes of groups. Classes are
+    named as in the entries; where these have sizes, those of a STAR fit.
     """
 
     def told(key, c, n, first, run_size) -> Iterator[pa.RecordBatch]:
@@ -400,8 +419,19 @@ def sketches(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
     return out
 
 
-def _possible(pairs: DataFrame, kinds: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs whose sketches differ in no more bits than linked sets do in tokens; no linked pair is lost."""
+def _short(c: str):
+    return F.shiftrightunsigned(c, LEFT_OUT)
+
+
+def _in_full(df: DataFrame, kinds: DataFrame, *cols: str) -> DataFrame:
+    """df with the classes that the short names in its columns `cols` stand for; one of several classes gives several rows."""
+    for c in cols:
+        df = df.join(kinds.select(_short("class").alias(c), F.col("class").alias("_class")), c).drop(c).withColumnRenamed("_class", c)
+    return df
+
+
+def _possible(pairs: DataFrame, kinds: DataFrame, bands: Bands, short: bool = False) -> DataFrame:
+    """Pairs whose sketches differ in no more bits than linked sets do in tokens; no linked pair is lost. short: pairs are of short names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -419,8 +449,12 @@ def _possible(pairs: DataFrame, kinds: DataFrame, bands: Bands) -> DataFrame:
                 ok[at] = np.bitwise_count(u ^ v).sum(1, dtype=np.int64) <= bands.most_differences(na[at], nb[at])
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    side = lambda k: kinds.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    name = _short("class") if short else F.col("class")
+    side = lambda k: kinds.select(name.alias(k), F.col("class").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    if short:  # a name twice stands for the pairs of its classes
+        both = both.where("a <> b or ca < cb")
+    return both.select("ca", "cb", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -498,7 +532,7 @@ def _across(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
 
 
-def _short(facts: DataFrame, roots: DataFrame, bands: Bands) -> DataFrame:
+def _in_core(facts: DataFrame, roots: DataFrame, bands: Bands) -> DataFrame:
     """Pairs of a crowd whose shingles in its core may be enough to link them; one of each is apart from its first class."""
     num, den = bands.num, bands.den
     reach = F.floor(F.col("both") * (num + den) / num).cast("long") - F.col("nb")
@@ -541,6 +575,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     hard = frozenset(r["b"] for r in first.select(F.explode("hard").alias("b")).distinct().collect())
     shared = spark.sparkContext.broadcast(_summed(first.where("part is not null").select("part", "counts")))
     kinds = settle(first.where("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    let_go(spark)
     found = settle(_candidates(_pass_two(rows, width, bands, shared, hard, FINER * partitions), bands, partitions), "candidates")
     let_go(spark)
     # As many tasks as these rows fill, whatever the number of shuffle partitions.
@@ -552,16 +587,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
         asked = settle(kinds.join(classes.distinct(), "class", "left_semi").select("id", "class"), "wanted", tasks)
         return settle(_sets_of(rows, asked, kind, width), "tokens", min(partitions, asked.count() // 1_000 + 1))
 
-    # The first class of each group against the others.
-    near = settle(_possible(of(found, STAR, CROWD), kinds, bands), "near", tasks)
-    crowds = settle(of(found, CROWD), "crowds", tasks)
+    # The first class of each group against the others, and classes with one short name against each other.
+    twice = kinds.groupBy(_short("class").alias("a")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a", F.col("a").alias("b"))
+    near = settle(_possible(of(found, STAR, CROWD).unionByName(twice), kinds, bands, short=True), "near", tasks)
+    crowds = settle(_in_full(of(found, CROWD), kinds, "a", "b").select("a", "b"), "crowds", tasks)
     sets = fetched(ends(near).unionByName(ends(crowds)))
     let_go(spark)
     links = settle(_linked(near, sets, bands), "linked", tasks)
     let_go(spark)
     roots = components(links)
     # What is still apart in small groups, and what crowds' deeper keys and short sets give.
-    groups, some = of(found, GROUP), None
+    groups, some = _in_full(of(found, GROUP), kinds, "b").select("a", "b"), None
     apart = _rooted(crowds, roots, "a", "b").where("ra <> rb").select("a").distinct()
     crowds = settle(crowds.join(apart, "a", "left_semi"), "apart", tasks)
     if crowds.limit(1).count():
@@ -579,7 +615,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
         deep = settle(_candidates(deeper.where("bucket is not null"), bands, fill), "deeper-candidates", tasks)
         groups = groups.unionByName(of(deep, GROUP))
         some = _rooted(of(deep, STAR, CROWD), roots, "a", "b").where("ra <> rb").select("a", "b")
-        some = some.unionByName(_short(deeper.where("a is not null").select("a", "b", "na", "nb", "both"), roots, bands))
+        some = some.unionByName(_in_core(deeper.where("a is not null").select("a", "b", "na", "nb", "both"), roots, bands))
     todo = _across(groups, roots) if some is None else _across(groups, roots).unionByName(some)
     near = settle(_possible(todo.distinct(), kinds, bands), "near", tasks)
     let_go(spark)
